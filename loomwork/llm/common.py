@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 #: Logical buckets over which rows of one hot key are spread before a lookup.
 SPREAD = 64
 #: Rows and bytes of one Arrow batch: keeps a Python worker's memory flat for long texts.
-ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 4000, 12 << 20
 
 
 def tune(spark: SparkSession) -> None:

@@ -137,51 +137,79 @@ class PieceEncoder:
     """Ids of whole texts, each distinct piece encoded once while it is remembered.
 
     A byte-level pre-tokenizer never carries a token over a space that white space doesn't follow: such a space begins
-    a token. Texts are cut there, so pieces have the ids they have in place. A piece of letters alone is one
-    pre-token, and so is the part before one closing mark; these skip the pre-tokenizer. Texts that hold a special token, or
-    white space after a space, are encoded whole.
+    a token. Texts are cut there, so pieces have the ids they have in place. In a piece of words, marks after words and
+    single line ends, each of these is one pre-token; such words go to the model many at a time. All other pieces pass
+    the whole tokenizer, and so do texts that hold a special token, or white space after a space.
     """
 
-    REMEMBERED = 1_500_000
-    MARKS = ".,;:!?"
+    REMEMBERED = 1_200_000
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer, self.bare = Tokenizer.from_file(file), Tokenizer.from_file(file)
         kind = json.loads(self.tokenizer.to_str())
         # the short cuts hold for a byte-level tokenizer that adds no space and has the usual pattern, and no other
         pre = kind.get("pre_tokenizer") or {}
         self.plain = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.bare.pre_tokenizer = None
+        self.bare.pre_tokenizer = WhitespaceSplit()
         self.letters = _byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-        self.marks = {m: np.array(self.tokenizer.encode("a" + m, add_special_tokens=False).ids[1:], np.uint32).tobytes() for m in self.MARKS}
+        self.starts: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.line_end = self._whole(["a\na"])[0][1:2].tobytes()
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, memo: dict[str, bytes], words: list[str], lead: str) -> None:
+        """Remember the ids of words of letters, a thousand to a call: white space parts them and is left out."""
+        table = self.letters
+        mapped = [lead + (w if w.isascii() else w.encode().decode("latin-1").translate(table)) for w in words]
+        for i in range(0, len(words), 1000):
+            few = words[i : i + 1000]
+            found = self.bare.encode(" ".join(mapped[i : i + 1000]), add_special_tokens=False)
+            raw = np.array(found.ids, np.uint32).tobytes()
+            cuts = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(few) + 1))).tolist()
+            for w, a, b in zip(few, cuts, cuts[1:]):
+                memo[w] = raw[a:b]
+
     def _learn(self, pieces: list[str]) -> None:
         """Remember the ids of a space and each piece."""
-        known, words, marked, other = self.known, {}, [], []
+        known, starts, marks = self.known, self.starts, self.marks
+        words, heads, planned, other = {}, {}, [], []
         for p in pieces:
             if p in known:
                 continue
             if p.isalpha():
                 words[p] = None
-            elif p[-1:] in self.marks and p[:-1].isalpha():
-                marked.append(p)
-                if p[:-1] not in known:
-                    words[p[:-1]] = None
+                continue
+            cut = []
+            for part in p.split("\n"):
+                word = part.rstrip(self.MARKS)
+                if not word.isalpha():
+                    other.append(p)
+                    break
+                cut.append((word, part[len(word) :]))
             else:
-                other.append(p)
-        words, table = list(words), self.letters
-        mapped = [chr(288) + (w if w.isascii() else w.encode().decode("latin-1").translate(table)) for w in words]
-        for w, e in zip(words, self.bare.encode_batch_fast(mapped, add_special_tokens=False)):
-            known[w] = np.array(e.ids, np.uint32).tobytes()
-        for p in marked:
-            known[p] = known[p[:-1]] + self.marks[p[-1]]
+                planned.append((p, cut))
+                if cut[0][0] not in known:
+                    words[cut[0][0]] = None
+                for word, _ in cut[1:]:
+                    if word not in starts:
+                        heads[word] = None
+        self._words(known, list(words), chr(288))
+        self._words(starts, list(heads), "")
+        fresh = list({m for _, cut in planned for _, m in cut if m not in marks})
+        marks.update(zip(fresh, (x.tobytes() for x in self._whole(fresh))))
+        for p, cut in planned:
+            ids = [known[cut[0][0]], marks[cut[0][1]]]
+            for word, mark in cut[1:]:
+                ids += [self.line_end, starts[word], marks[mark]]
+            known[p] = b"".join(ids)
         for p, ids in zip(other, self._whole([" " + p for p in other])):
             known[p] = ids.tobytes()
 
@@ -205,6 +233,8 @@ class PieceEncoder:
             pieces = flat.dictionary.to_pylist()
             if len(self.known) > self.REMEMBERED:
                 self.known.clear()
+                self.starts.clear()
+                self.marks = {"": b""}
             self._learn(pieces)
             found = [self.known[p] for p in pieces]
             sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
