@@ -18,6 +18,8 @@ from . import common as C
 
 ERRORS, SHORTEST = 2, 24
 _BLOCK = 16
+#: Hashes that may be sent to every executor (some 24 bytes each); beyond, tables are joined.
+BROADCAST_HASHES = 1_000_000
 
 
 def segments(length: Column, errors: int) -> list[tuple[Column, Column]]:
@@ -137,24 +139,47 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", "row", F.explode(F.split("_t", "\n")).alias("line"))
 
 
-def distinct_lines(docs: DataFrame, shortest: int) -> DataFrame:
-    """(line, first, n): each distinct line of ``shortest`` characters or more with its smallest doc_id."""
-    return lines_of(docs).where(F.length("line") >= shortest).groupBy("line").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+def hashed_lines(docs: DataFrame, shortest: int) -> DataFrame:
+    """(doc_id, row, line, h): the lines of ``shortest`` characters or more, with the hash that they are known by."""
+    return lines_of(docs).where(F.length("line") >= shortest).withColumn("h", F.xxhash64("line"))
 
 
-def linked_lines(lines: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST) -> DataFrame:
-    """(a, b): hashes of linked distinct lines of ``lines`` (line), both ways. Only texts are compared, so a shared key links nothing by itself."""
+def occurrences(docs: DataFrame, shortest: int) -> DataFrame:
+    """(doc_id, row, h, n): how often each document holds each line; written once, without texts."""
+    held = hashed_lines(docs, shortest).select("doc_id", "row", "h")
+    return C.materialise(held.groupBy("doc_id", "row", "h").agg(F.count(F.lit(1)).alias("n")), "lines")
+
+
+def _few(hashes: DataFrame, most: int) -> bool:
+    """Whether a table of hashes is small enough, by count, to be sent to every executor."""
+    return hashes.count() <= most
+
+
+def distinct_lines(docs: DataFrame, marks: DataFrame, shortest: int, most: int) -> DataFrame:
+    """(h, line): each distinct line once. Lines met once need no shuffle where the repeated ones are few enough to be known everywhere."""
+    lines = hashed_lines(docs, shortest).select("h", "line")
+    repeated = marks.where("n > 1").select("h")
+    if _few(repeated, most):
+        once = lines.join(F.broadcast(repeated), "h", "left_anti")
+        again = lines.join(F.broadcast(repeated), "h", "left_semi").distinct()
+        return once.unionByName(again)
+    return lines.distinct()
+
+
+def linked_lines(docs: DataFrame, marks: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST, most: int = BROADCAST_HASHES) -> DataFrame:
+    """(a, b): hashes of linked distinct lines, both ways."""
     size = F.length("line")
-    keyed = lines.select(F.xxhash64("line").alias("h"), "line", size.alias("size"))
-    index = keyed.select("h", F.explode(index_keys(F.col("line"), F.col("size"), errors)).alias("key"))
-    probe = keyed.select("h", F.explode(probe_keys(F.col("line"), F.col("size"), errors, shortest)).alias("key"))
-    pairs = probe.withColumnRenamed("h", "a").join(index.withColumnRenamed("h", "b"), "key").where("a <> b")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    texts = keyed.select("h", "line")
-    left = pairs.join(texts.toDF("a", "la"), "a")
-    both = left.join(texts.toDF("b", "lb"), "b")
+    lines = distinct_lines(docs, marks, shortest, most)
+    index = lines.select(F.col("h").alias("b"), F.explode(index_keys(F.col("line"), size, errors)).alias("key"))
+    probe = lines.select(F.col("h").alias("a"), F.explode(probe_keys(F.col("line"), size, errors, shortest)).alias("key"))
+    pairs = probe.join(index, "key").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = C.materialise(pairs, "pairs")
+    met = C.materialise(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "met")
+    texts = hashed_lines(docs, shortest).select("h", "line")
+    texts = C.materialise(texts.join(F.broadcast(met) if _few(met, most) else met, "h", "left_semi").distinct(), "texts")
+    both = pairs.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
     close = F.abs(F.length("la") - F.length("lb")) <= errors
-    good = both.where(close).where(banded_distance(F.col("la"), F.col("lb"), errors) <= errors).select("a", "b")
+    good = both.where(close).where(banded_distance(F.col("la"), F.col("lb"), errors) <= errors).select("a", "b").distinct()
     good = C.materialise(good, "links")
     return good.union(good.select("b", "a"))
 
@@ -167,27 +192,23 @@ def line_report(docs: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST)
     they carry too little to drop. Rows that repeat a doc_id count as one document where lines come first.
     An empty table gives an empty one.
     """
-    lines = distinct_lines(docs, shortest)
-    decided = decisions(lines, errors, shortest)
-    return _report(docs, decided, shortest)
+    held = occurrences(docs, shortest)
+    return _report(docs, held, decisions(docs, held, errors, shortest), shortest)
 
 
-def decisions(lines: DataFrame, errors: int, shortest: int) -> DataFrame:
+def decisions(docs: DataFrame, held: DataFrame, errors: int, shortest: int, most: int = BROADCAST_HASHES) -> DataFrame:
     """(h, first, late, links) of each distinct line: whether a linked line comes before it, and its number of links."""
-    links = linked_lines(lines, errors, shortest)
-    marks = lines.select(F.xxhash64("line").alias("h"), "first")
+    marks = C.materialise(held.groupBy("h").agg(F.min("doc_id").alias("first"), F.sum("n").alias("n")), "marks")
+    links = linked_lines(docs, marks, errors, shortest, most)
     order = lambda x, y: F.struct(F.col(x), F.col(y))
-    near = links.join(marks.toDF("a", "fa"), "a").join(marks.toDF("b", "fb"), "b")
+    firsts = marks.select("h", "first")
+    near = links.join(firsts.toDF("a", "fa"), "a").join(firsts.toDF("b", "fb"), "b")
     near = near.groupBy("a").agg(F.count(F.lit(1)).alias("links"), F.max(order("fb", "b") < order("fa", "a")).alias("late"))
-    return marks.join(near.withColumnRenamed("a", "h"), "h", "left").select("h", "first", F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("links", F.lit(0)).alias("links"))
-
-
-def occurrences(docs: DataFrame, shortest: int) -> DataFrame:
-    """(doc_id, row, h, n): how often each document holds each line of ``shortest`` characters or more."""
-    return lines_of(docs).where(F.length("line") >= shortest).groupBy("doc_id", "row", F.xxhash64("line").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    near = near.withColumnRenamed("a", "h")
+    return firsts.join(near, "h", "left").select("h", "first", F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def _report(docs: DataFrame, decided: DataFrame, shortest: int) -> DataFrame:
+def _report(docs: DataFrame, held: DataFrame, decided: DataFrame, shortest: int) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     cut = F.split(text, "\n")
     short = F.filter(cut, lambda x: F.length(x) < shortest)
@@ -197,7 +218,7 @@ def _report(docs: DataFrame, decided: DataFrame, shortest: int) -> DataFrame:
         F.when(text == "", 0).otherwise(F.size(cut)).cast("long").alias("n_lines"),
         F.when(text == "", 0).otherwise(F.size(F.array_distinct(short))).cast("long").alias("_short"),
     )
-    held = occurrences(docs, shortest).withColumn("_spread", C.spread_of(F.col("doc_id"), F.lit(2)))
+    held = held.withColumn("_spread", C.spread_of(F.col("doc_id"), F.lit(2)))
     met = C.lookup(held, ["h"], decided, "_spread")
     stays = F.col("first").eqNullSafe(F.col("doc_id")) & ~F.col("late")
     per = met.groupBy("doc_id", "row").agg(F.sum(stays.cast("long")).alias("_long"), F.sum("links").alias("n_links"))
@@ -212,9 +233,10 @@ def dedup_lines(docs: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST)
 
     Null texts stay null; a text whose lines all go is empty.
     """
-    decided = decisions(distinct_lines(docs, shortest), errors, shortest)
+    held = occurrences(docs, shortest)
+    decided = decisions(docs, held, errors, shortest)
     key = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    held = occurrences(docs, shortest).withColumn("_spread", C.spread_of(F.col("doc_id"), F.lit(2)))
+    held = held.withColumn("_spread", C.spread_of(F.col("doc_id"), F.lit(2)))
     met = C.lookup(held, ["h"], decided, "_spread")
     gone = met.where(~F.col("first").eqNullSafe(F.col("doc_id")) | F.col("late"))
     gone = gone.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_dn"), F.col("row").alias("_row")).agg(F.collect_set("h").alias("_gone"))
