@@ -43,7 +43,7 @@ def index_keys(line: Column, length: Column, errors: int) -> Column:
 
 
 def probe_keys(line: Column, length: Column, errors: int, shortest: int) -> Column:
-    """Keys of the substrings that segments of lines as long, or up to ``errors`` shorter, may match.
+    """Keys of the substrings that segments of lines as long, or up to ``errors`` shorter, may match; null where none can stand.
 
     For a line shorter by d, segment k can be shifted by at most k to the left and by at most errors - d - k + d to the
     right (seen from the left end), and the other way round from the right end; both bounds hold at once.
@@ -57,7 +57,7 @@ def probe_keys(line: Column, length: Column, errors: int, shortest: int) -> Colu
                 place = at + shift
                 fits = (other >= shortest) & (place >= 1) & (place + size - 1 <= length)
                 out.append(F.when(fits, _key(k, other, F.substring(line, place, size))))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+    return F.array(*out)
 
 
 def banded_distance(a: Column, b: Column, errors: int) -> Column:
@@ -118,8 +118,10 @@ def banded_distance(a: Column, b: Column, errors: int) -> Column:
                         F.when(down, e["h"]).otherwise(F.shiftrightunsigned(e["h"], 1)).alias("h"),
                     )
 
+                # the diagonal never falls, and the bottom row can take back one a step: past this bound all is lost
+                lost = s["d"] > 2 * errors + c["n"] - c["m"]
                 first = let(F.struct(match.alias("x"), s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d"), s["h"].alias("h")), inner)
-                return let(first, outer)
+                return F.when(lost, s).otherwise(let(first, outer))
 
             return F.aggregate(F.sequence(F.lit(0), c["n"] - 1), start, step)["d"]
 
@@ -168,11 +170,11 @@ def distinct_lines(docs: DataFrame, marks: DataFrame, shortest: int, most: int)
 
 def linked_lines(docs: DataFrame, marks: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST, most: int = BROADCAST_HASHES) -> DataFrame:
     """(a, b): hashes of linked distinct lines, both ways."""
-    size = F.length("line")
-    lines = distinct_lines(docs, marks, shortest, most)
+    # a column of its own: counting characters reads the line
+    lines, size = distinct_lines(docs, marks, shortest, most).withColumn("size", F.length("line")), F.col("size")
     index = lines.select(F.col("h").alias("b"), F.explode(index_keys(F.col("line"), size, errors)).alias("key"))
     probe = lines.select(F.col("h").alias("a"), F.explode(probe_keys(F.col("line"), size, errors, shortest)).alias("key"))
-    pairs = probe.join(index, "key").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = probe.where("key is not null").join(index, "key").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = C.materialise(pairs, "pairs")
     met = C.materialise(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "met")
     texts = hashed_lines(docs, shortest).select("h", "line")
