@@ -22,42 +22,40 @@ _BLOCK = 16
 BROADCAST_HASHES = 1_000_000
 
 
-def segments(length: Column, errors: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and size of each segment of a line: sizes differ by one at most, longer ones last."""
+def segment(length: Column, k: Column, errors: int) -> tuple[Column, Column]:
+    """Start (from 1) and size of segment ``k`` of a line: sizes differ by one at most, longer ones last."""
     parts = errors + 1
     size = F.floor(length / parts).cast("int")
-    more = length - size * parts
-    out = []
-    for k in range(parts):
-        longer = F.greatest(F.lit(0), k - (parts - more)).cast("int")
-        out.append((size * k + longer + 1, size + F.when(k >= parts - more, 1).otherwise(0)))
-    return out
+    shorter = parts - (length - size * parts)
+    return size * k + F.greatest(F.lit(0), k - shorter) + 1, size + (k >= shorter).cast("int")
 
 
-def _key(kind: int, length: Column, text: Column) -> Column:
-    return F.xxhash64(F.lit(kind), length.cast("int"), text)
+def _places(places: list[tuple[int, int, int]]) -> Column:
+    return F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(k).alias("k"), F.lit(s).alias("shift")) for d, k, s in places)))
 
 
-def index_keys(line: Column, length: Column, errors: int) -> Column:
-    return F.array(*(_key(k, length, F.substring(line, at, size)) for k, (at, size) in enumerate(segments(length, errors))))
+def _keys(lines: DataFrame, places: list[tuple[int, int, int]], errors: int, shortest: int) -> DataFrame:
+    """(h, key) of ``lines`` (h, line, size): one row a place, so that the code for a key is small enough to be compiled."""
+    own = lines.withColumn("_p", _places(places)).select("h", "line", "size", "_p.*")
+    other = F.col("size") - F.col("d")
+    at, size = segment(other, F.col("k"), errors)
+    own = own.select("h", "line", "size", "k", other.alias("other"), (at + F.col("shift")).alias("at"), size.alias("part"))
+    own = own.where((F.col("other") >= shortest) & (F.col("at") >= 1) & (F.col("at") + F.col("part") - 1 <= F.col("size")))
+    return own.select("h", F.xxhash64("k", "other", F.substring("line", F.col("at"), F.col("part"))).alias("key"))
 
 
-def probe_keys(line: Column, length: Column, errors: int, shortest: int) -> Column:
-    """Keys of the substrings that segments of lines as long, or up to ``errors`` shorter, may match; null where none can stand.
+def index_keys(lines: DataFrame, errors: int, shortest: int) -> DataFrame:
+    return _keys(lines, [(0, k, 0) for k in range(errors + 1)], errors, shortest)
 
-    For a line shorter by d, segment k can be shifted by at most k to the left and by at most errors - d - k + d to the
-    right (seen from the left end), and the other way round from the right end; both bounds hold at once.
+
+def probe_keys(lines: DataFrame, errors: int, shortest: int) -> DataFrame:
+    """Keys of the substrings that segments of lines as long, or up to ``errors`` shorter, may match.
+
+    For a line shorter by d, segment k is shifted by k at most as seen from the left end, and by errors - k at most
+    as seen from the right end, where the shift is less by d; both hold at once.
     """
-    out = []
-    for d in range(errors + 1):
-        other = length - d
-        for k, (at, size) in enumerate(segments(other, errors)):
-            # left end: |shift| <= k; right end: |shift - d| <= errors - k
-            for shift in range(max(-k, d - (errors - k)), min(k, d + errors - k) + 1):
-                place = at + shift
-                fits = (other >= shortest) & (place >= 1) & (place + size - 1 <= length)
-                out.append(F.when(fits, _key(k, other, F.substring(line, place, size))))
-    return F.array(*out)
+    places = [(d, k, s) for d in range(errors + 1) for k in range(errors + 1) for s in range(max(-k, d - (errors - k)), min(k, d + errors - k) + 1)]
+    return _keys(lines, places, errors, shortest)
 
 
 def banded_distance(a: Column, b: Column, errors: int) -> Column:
@@ -171,10 +169,9 @@ def distinct_lines(docs: DataFrame, marks: DataFrame, shortest: int, most: int)
 def linked_lines(docs: DataFrame, marks: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST, most: int = BROADCAST_HASHES) -> DataFrame:
     """(a, b): hashes of linked distinct lines, both ways."""
     # a column of its own: counting characters reads the line
-    lines, size = distinct_lines(docs, marks, shortest, most).withColumn("size", F.length("line")), F.col("size")
-    index = lines.select(F.col("h").alias("b"), F.explode(index_keys(F.col("line"), size, errors)).alias("key"))
-    probe = lines.select(F.col("h").alias("a"), F.explode(probe_keys(F.col("line"), size, errors, shortest)).alias("key"))
-    pairs = probe.where("key is not null").join(index, "key").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    lines = distinct_lines(docs, marks, shortest, most).withColumn("size", F.length("line"))
+    index, probe = index_keys(lines, errors, shortest).toDF("b", "key"), probe_keys(lines, errors, shortest).toDF("a", "key")
+    pairs = probe.join(index, "key").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = C.materialise(pairs, "pairs")
     met = C.materialise(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "met")
     texts = hashed_lines(docs, shortest).select("h", "line")
