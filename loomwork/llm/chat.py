@@ -58,11 +58,13 @@ def mask(said: Column) -> Column:
 def preferences(pairs: DataFrame) -> DataFrame:
     """(pair_id, prefix_turns, prompt, chosen, rejected, chosen_mask, rejected_mask) of ``pairs`` (pair_id, chosen, rejected).
 
-    chosen and rejected are arrays of (role, text); null counts as an empty conversation. Two equal conversations
+    chosen and rejected are arrays of (role, text); null counts as an empty conversation, a null role as user, a null
+    text as empty. Two equal conversations
     have empty completions. Repeated rows come back as often as they came; further columns are ignored.
     """
     none = F.array().cast("array<struct<role:string,text:string>>")
-    own = pairs.select("pair_id", F.coalesce("chosen", none).alias("c"), F.coalesce("rejected", none).alias("r")).withColumn("prefix_turns", common_prefix(F.col("c"), F.col("r")))
+    plain = lambda c: F.transform(F.coalesce(c, none), lambda x: F.struct(F.coalesce(x["role"], F.lit("user")).alias("role"), F.coalesce(x["text"], F.lit("")).alias("text")))
+    own = pairs.select("pair_id", plain("chosen").alias("c"), plain("rejected").alias("r")).withColumn("prefix_turns", common_prefix(F.col("c"), F.col("r")))
     rest = lambda x: F.slice(x, F.col("prefix_turns") + 1, F.greatest(F.size(x), F.lit(1)))
     cut = own.select("pair_id", "prefix_turns", F.slice("c", 1, F.col("prefix_turns")).alias("p"), rest("c").alias("c"), rest("r").alias("r"))
     return cut.select("pair_id", "prefix_turns", render(F.col("p")).alias("prompt"), render(F.col("c")).alias("chosen"), render(F.col("r")).alias("rejected"), mask(F.col("c")).alias("chosen_mask"), mask(F.col("r")).alias("rejected_mask"))

@@ -44,7 +44,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged = table.group_by(keys, use_threads=False).aggregate([("first", "min"), ("n", "sum")])
         merged = merged.select([*keys, "first_min", "n_sum"]).rename_columns(batch.schema.names)
         same = pc.and_(pc.equal(merged["sha"], table["sha"][-1]), pc.equal(merged["run"], table["run"][-1]))
-        held = merged.filter(same)
+        held = merged.filter(same).cast(batch.schema)
         yield from merged.filter(pc.invert(same)).cast(batch.schema).to_batches()
     if held is not None:
         yield from held.cast(batch.schema).to_batches()
