@@ -193,7 +193,7 @@ class Document:
 
     def readable(self, main_content_only: bool = True) -> str:
         node = self.main_content() if main_content_only else self.root
-        return " ".join("".join(node.strings(CHROME)).split()) if node is not None else " ".join(self.text.split())
+        return " ".join(" ".join(node.strings(CHROME)).split()) if node is not None else " ".join(self.text.split())
 
     def markdown(self, main_content_only: bool = False, tails: bool = True) -> str:
         """Markdown of the page. ``tails=False`` leaves out the text after line breaks and plain inline tags."""
