@@ -116,15 +116,16 @@ def banded_distance(a: Column, b: Column, errors: int) -> Column:
                         F.when(down, e["h"]).otherwise(F.shiftrightunsigned(e["h"], 1)).alias("h"),
                     )
 
-                # the diagonal never falls, and the bottom row can take back one a step: past this bound all is lost
-                lost = s["d"] > 2 * errors + c["n"] - c["m"]
                 first = let(F.struct(match.alias("x"), s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d"), s["h"].alias("h")), inner)
-                return F.when(lost, s).otherwise(let(first, outer))
+                return let(first, outer)
 
             return F.aggregate(F.sequence(F.lit(0), c["n"] - 1), start, step)["d"]
 
         # a rest shorter than the band: all of the longer rest may be edits
-        return F.when((n == 0) | (m <= errors), F.levenshtein(x["p"], x["t"])).otherwise(let(chars, run))
+        whole = F.when((n == 0) | (m <= errors), F.levenshtein(x["p"], x["t"])).otherwise(let(chars, run))
+        # equally long ends of two strings at most e apart are at most 2 e apart themselves: most strangers leave here
+        near = lambda cut: F.levenshtein(cut(x["p"]), cut(x["t"]), 2 * errors) >= 0
+        return F.when(near(lambda s: F.substr(s, F.lit(1), F.lit(2 * _BLOCK))) & near(lambda s: F.right(s, F.lit(2 * _BLOCK))), whole).otherwise(errors + 1)
 
     longer = F.length(a) >= F.length(b)
     pair = F.struct(F.when(longer, a).otherwise(b).alias("p"), F.when(longer, b).otherwise(a).alias("t"))
