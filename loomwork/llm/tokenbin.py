@@ -232,7 +232,8 @@ class PieceEncoder:
             stops = stops - stops[0]
             pieces = flat.dictionary.to_pylist()
             if len(self.known) > self.REMEMBERED:
-                self.known.clear()
+                # what this batch holds is likely to come again
+                self.known = {p: self.known[p] for p in pieces if p in self.known}
                 self.starts.clear()
                 self.marks = {"": b""}
             self._learn(pieces)
