@@ -142,7 +142,8 @@ class PieceEncoder:
     the whole tokenizer, and so do texts that hold a special token, or white space after a space.
     """
 
-    REMEMBERED = 1_200_000
+    #: Pieces met in more than one batch; and those met lately, twice over.
+    KNOWN, RECENT = 700_000, 350_000
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, file: str):
@@ -158,6 +159,8 @@ class PieceEncoder:
         self.letters = _byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.starts: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
         self.line_end = self._whole(["a\na"])[0][1:2].tobytes()
@@ -178,12 +181,10 @@ class PieceEncoder:
                 memo[w] = raw[a:b]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Remember the ids of a space and each piece."""
-        known, starts, marks = self.known, self.starts, self.marks
+        """Remember for a while the ids of a space and each piece, none of which is known."""
+        known, recent, older, starts, marks = self.known, self.recent, self.older, self.starts, self.marks
         words, heads, planned, other = {}, {}, [], []
         for p in pieces:
-            if p in known:
-                continue
             if p.isalpha():
                 words[p] = None
                 continue
@@ -196,22 +197,46 @@ class PieceEncoder:
                 cut.append((word, part[len(word) :]))
             else:
                 planned.append((p, cut))
-                if cut[0][0] not in known:
-                    words[cut[0][0]] = None
+                word = cut[0][0]
+                if word not in known and word not in recent and word not in older:
+                    words[word] = None
                 for word, _ in cut[1:]:
                     if word not in starts:
                         heads[word] = None
-        self._words(known, list(words), chr(288))
+        self._words(recent, list(words), chr(288))
         self._words(starts, list(heads), "")
         fresh = list({m for _, cut in planned for _, m in cut if m not in marks})
         marks.update(zip(fresh, (x.tobytes() for x in self._whole(fresh))))
         for p, cut in planned:
-            ids = [known[cut[0][0]], marks[cut[0][1]]]
+            word = cut[0][0]
+            ids = [known.get(word) or recent.get(word) or older[word], marks[cut[0][1]]]
             for word, mark in cut[1:]:
                 ids += [self.line_end, starts[word], marks[mark]]
-            known[p] = b"".join(ids)
+            recent[p] = b"".join(ids)
         for p, ids in zip(other, self._whole([" " + p for p in other])):
-            known[p] = ids.tobytes()
+            recent[p] = ids.tobytes()
+
+    def _found(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces. One that a later batch meets again becomes known; the others are soon forgotten."""
+        if len(self.recent) > self.RECENT:
+            self.older, self.recent = self.recent, {}
+            self.starts.clear()
+            self.marks = {"": b""}
+        if len(self.known) > self.KNOWN:
+            # what this batch holds is likely to come again
+            self.known = {p: self.known[p] for p in pieces if p in self.known}
+        known, recent, older = self.known, self.recent, self.older
+        found, fresh = list(map(known.get, pieces)), []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            p = pieces[i]
+            if x := recent.get(p) or older.get(p):
+                known[p] = found[i] = x
+            else:
+                fresh.append(i)
+        self._learn([pieces[i] for i in fresh])
+        for i in fresh:
+            found[i] = recent[pieces[i]]
+        return found
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows of a string column, and how many each row has."""
@@ -231,13 +256,7 @@ class PieceEncoder:
             flat = pc.dictionary_encode(cut.values.slice(stops[0], stops[-1] - stops[0]))
             stops = stops - stops[0]
             pieces = flat.dictionary.to_pylist()
-            if len(self.known) > self.REMEMBERED:
-                # what this batch holds is likely to come again
-                self.known = {p: self.known[p] for p in pieces if p in self.known}
-                self.starts.clear()
-                self.marks = {"": b""}
-            self._learn(pieces)
-            found = [self.known[p] for p in pieces]
+            found = self._found(pieces)
             sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
             pool, begins = np.frombuffer(b"".join(found), np.uint32), np.cumsum(sizes) - sizes
             index = flat.indices.to_numpy().astype(np.int64)
