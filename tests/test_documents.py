@@ -56,9 +56,12 @@ def test_page_functions():
     assert "six" not in doc.markdown(tails=False) and "six" in md
     assert region(doc.select("li")) == "main" and region(doc.select("nav a")) == "nav"
     assert doc.links() == ["http://h.com/n"] and doc.regex(r"lang=\"(\w+)", 1) == "en" and doc.regex("x", 4) is None
-    top = next(r for r in structure.records(doc, top_k=9) if r.container_tag == "ul")
-    assert (top.item_selector, top.count, top.container_selector) == ("li.x", 3, "ul.items")
-    assert "ul.items *3" in structure.skeleton(doc)
+    listed = Document('<main><ul class="items">' + "".join(f'<li class="card e1d6xluq5"><a href="/{k}">x</a> y' for k in range(4)) + "</ul></main>", "text/html")
+    top = structure.records(listed)[0]
+    assert (top.item_selector, top.count, top.container_selector) == ("li.card", 4, "ul.items")
+    assert "ul.items *4" in structure.skeleton(listed)
+    wrapped = Document("<div>" + '<div class="mt-6"><div><article class="card"><p>a<p>b</article></div></div>' * 3 + "</div>", "text/html")
+    assert structure.records(wrapped)[0].item_selector == "article.card"
 
 
 def test_kinds():
