@@ -46,7 +46,10 @@ class WaveletMatrix:
             bit = now & now.dtype.type(1 << level) != 0
             packed = np.packbits(bit, bitorder="little")
             planes.append(np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)]))
-            now = np.concatenate([now[~bit], now[bit]])
+            parted, zeros = np.empty_like(now), len(now) - np.count_nonzero(bit)
+            np.compress(~bit, now, out=parted[:zeros])
+            np.compress(bit, now, out=parted[zeros:])
+            now = parted
         return cls(planes, len(ids))
 
     def _rank1(self, level: int, i: int) -> int:
@@ -120,8 +123,8 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             back = np.empty(self.n, kind)
-            back[~bit] = now[: self.zeros[level]]
-            back[bit] = now[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
+            np.place(back, ~bit, now[: self.zeros[level]])
+            np.place(back, bit, now[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level)))
             now = back
         return now
 
