@@ -7,6 +7,7 @@ a reader can fetch single planes. A plane's rank directory (ones before each 512
 
 from __future__ import annotations
 
+import gc
 import json
 import struct
 import zlib
@@ -357,7 +358,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, limit: int = SHAR
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "seq", "path", "docs", "ids"])
 
         for batch in batches:
-            ids, lengths = encode(batch.column(1))
+            gc.disable()  # some hundred thousand live objects and no cycles: the collector would only walk them
+            try:
+                ids, lengths = encode(batch.column(1))
+            finally:
+                gc.enable()
             begins = np.cumsum(lengths) - lengths
             for doc_id, begin, length in zip(batch.column(0).to_pylist(), begins.tolist(), lengths.tolist()):
                 doc_ids.append(doc_id)
