@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -90,11 +91,13 @@ def sticky_tiers(attempts: DataFrame, sticky: bool = True) -> DataFrame:
 
     def serve(log: pd.DataFrame) -> pd.DataFrame:
         floor, out = 0, []
-        for (seq, url), own in log.sort_values(["seq", "url", "tier"]).groupby(["seq", "url"], sort=False):
-            able = own[(own.tier >= floor) & ~own.climb]
-            tier = int(able.tier.min()) if len(able) else int(own.tier.max())
+        log = log.dropna(subset=["seq", "url"]).sort_values(["seq", "url", "tier"])
+        rows = zip(log.host, log.seq, log.url, log.tier, log.climb)
+        for (seq, url), own in groupby(rows, lambda x: x[1:3]):
+            tries = [(host, tier, climb) for host, _, _, tier, climb in own]
+            host, tier, _ = next((t for t in tries if t[1] >= floor and not t[2]), tries[-1])
             floor = max(floor, tier)
-            out.append((own.host.iloc[0], seq, url, tier))
+            out.append((host, seq, url, tier))
         return pd.DataFrame(out, columns=["host", "seq", "url", "tier"])
 
     return attempts.groupBy("host").applyInPandas(serve, "host string, seq long, url string, tier int")

@@ -172,7 +172,7 @@ def pol_spacing(spark, sf_dir):
 
 
 def pol_sticky(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").where("event_id < 2000 or event_id % 2 = 0").select(F.pmod("user_id", F.lit(50)).alias("host"), F.col("event_id").alias("seq"), "value")
+    e = _t(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(50)).alias("host"), F.col("event_id").alias("seq"), "value")
     tries = e.select(F.col("host").cast("string").alias("host"), "seq", F.col("seq").cast("string").alias("url"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("tier"), "value")
     return policies.sticky_tiers(tries.select("host", "seq", "url", "tier", (F.col("value") > 40 * (F.col("tier") + 1)).alias("climb")))
 
