@@ -6,7 +6,7 @@ could be linked to, at the few places where a kept segment can stand. Candidates
 edit distance. Lines shorter than ``shortest`` characters are compared exactly only: so short, edits make other lines.
 
 A line is dropped where the same or a linked line comes earlier: lines are ordered by their first document, then by
-hash. Within a document the first of equal lines stays.
+hash. Within a document the first of equal lines stays. Empty lines part paragraphs: one stays in each document.
 """
 
 from __future__ import annotations
@@ -145,9 +145,9 @@ def hashed_lines(docs: DataFrame, shortest: int) -> DataFrame:
     return lines_of(docs).where(F.length("line") >= shortest).withColumn("h", F.xxhash64("line"))
 
 
-def occurrences(docs: DataFrame, shortest: int) -> DataFrame:
-    """(doc_id, row, h, n): how often each document holds each line; written once, without texts."""
-    held = hashed_lines(docs, shortest).select("doc_id", "row", "h")
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, h, n): how often each document holds each line that isn't empty; written once, without texts."""
+    held = hashed_lines(docs, 1).select("doc_id", "row", "h")
     return C.materialise(held.groupBy("doc_id", "row", "h").agg(F.count(F.lit(1)).alias("n")), "lines")
 
 
@@ -188,12 +188,11 @@ def line_report(docs: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST)
     """(doc_id, n_lines, n_kept, n_links) for each row of ``docs`` (doc_id, text; further columns are ignored).
 
     n_lines counts the lines of the text (none for null and empty), n_kept those that stay, n_links the links of
-    its distinct lines to other lines. Lines below ``shortest`` repeat within a document only and are kept elsewhere:
-    they carry too little to drop. Rows that repeat a doc_id count as one document where lines come first.
-    An empty table gives an empty one.
+    its distinct lines to other lines. Lines below ``shortest`` have no links. Rows that repeat a doc_id count as one
+    document where lines come first. An empty table gives an empty one.
     """
-    held = occurrences(docs, shortest)
-    return _report(docs, held, decisions(docs, held, errors, shortest), shortest)
+    held = occurrences(docs)
+    return _report(docs, held, decisions(docs, held, errors, shortest))
 
 
 def decisions(docs: DataFrame, held: DataFrame, errors: int, shortest: int, most: int = BROADCAST_HASHES) -> DataFrame:
@@ -208,24 +207,23 @@ def decisions(docs: DataFrame, held: DataFrame, errors: int, shortest: int, most
     return firsts.join(near, "h", "left").select("h", "first", F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def _report(docs: DataFrame, held: DataFrame, decided: DataFrame, shortest: int) -> DataFrame:
+def _report(docs: DataFrame, held: DataFrame, decided: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     cut = F.split(text, "\n")
-    short = F.filter(cut, lambda x: F.length(x) < shortest)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(text).alias("row"),
         F.when(text == "", 0).otherwise(F.size(cut)).cast("long").alias("n_lines"),
-        F.when(text == "", 0).otherwise(F.size(F.array_distinct(short))).cast("long").alias("_short"),
+        ((text != "") & F.array_contains(cut, "")).cast("long").alias("_empty"),
     )
     held = held.withColumn("_spread", C.spread_of(F.col("doc_id"), F.lit(2)))
     met = C.lookup(held, ["h"], decided, "_spread")
     stays = F.col("first").eqNullSafe(F.col("doc_id")) & ~F.col("late")
-    per = met.groupBy("doc_id", "row").agg(F.sum(stays.cast("long")).alias("_long"), F.sum("links").alias("n_links"))
-    per = per.select(F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_dn"), "row", "_long", "n_links")
+    per = met.groupBy("doc_id", "row").agg(F.sum(stays.cast("long")).alias("_stay"), F.sum("links").alias("n_links"))
+    per = per.select(F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_dn"), "row", "_stay", "n_links")
     rows = rows.withColumns({"_d": F.coalesce("doc_id", F.lit(0)), "_dn": F.col("doc_id").isNull()})
     out = rows.join(per, ["_d", "_dn", "row"], "left")
-    return out.select("doc_id", "n_lines", (F.col("_short") + F.coalesce("_long", F.lit(0))).cast("long").alias("n_kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_lines", (F.col("_empty") + F.coalesce("_stay", F.lit(0))).cast("long").alias("n_kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def dedup_lines(docs: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST) -> DataFrame:
@@ -233,7 +231,7 @@ def dedup_lines(docs: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST)
 
     Null texts stay null; a text whose lines all go is empty.
     """
-    held = occurrences(docs, shortest)
+    held = occurrences(docs)
     decided = decisions(docs, held, errors, shortest)
     key = F.coalesce(F.col("text").cast("string"), F.lit(""))
     held = held.withColumn("_spread", C.spread_of(F.col("doc_id"), F.lit(2)))
@@ -243,7 +241,7 @@ def dedup_lines(docs: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST)
     rows = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_dn": F.col("doc_id").isNull(), "_row": F.xxhash64(key)})
     kept = F.filter(
         F.split("text", "\n"),
-        lambda x, i: (F.array_position(F.split("text", "\n"), x) == i + 1) & ~F.coalesce(F.array_contains("_gone", F.xxhash64(x)) & (F.length(x) >= shortest), F.lit(False)),
+        lambda x, i: (F.array_position(F.split("text", "\n"), x) == i + 1) & ~F.coalesce(F.array_contains("_gone", F.xxhash64(x)) & (x != ""), F.lit(False)),
     )
     out = rows.join(gone, ["_d", "_dn", "_row"], "left").withColumn("text", F.array_join(kept, "\n"))
     return out.select(*docs.columns)
