@@ -24,6 +24,8 @@ BITS, DISTANCE, WORDS = 64, 2, 3
 #: First bit and length of the thirds.
 THIRDS = ((0, 22), (22, 21), (43, 21))
 HOT_NODE, DEEPER = 50_000, 8
+#: Words of a shingle of keep_dissimilar; rows of its sample, and how often a shingle occurs there to be common.
+COPY_WORDS, SAMPLE_ROWS, OFTEN = 5, 20_000, 4
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -263,3 +265,76 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     own = anonymous.select(F.xxhash64("text").alias("doc_id"), "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
     least = own.join(lone, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_h")).select("_h")
     return kept.unionByName(anonymous.withColumn("_h", F.xxhash64("text")).join(least, "_h", "left_semi").dropDuplicates(["_h"]).select(*columns))
+
+
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Distinct hashes (XXH64, seed 42) of each text's word shingles; a shorter text is one shingle."""
+    out, digest = [], xxhash.xxh64_intdigest
+    for text in texts:
+        words = text.lower().split()
+        own = {digest(b" ".join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))} if words else ()
+        out.append(np.sort(np.fromiter(own, np.uint64, len(own))).view(np.int64))
+    return out
+
+
+def _sets(often: tuple[np.ndarray, np.ndarray] | None):
+    """(doc_id, h, text) to (doc_id, h, sh, n, s). often: then s is the prefix alone, common shingles last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = K.column_bytes(batch.column(2))
+            for i, j in K.pieces(off):
+                raw, at = data[off[i] : off[j]].tobytes(), (off[i : j + 1] - off[i]).tolist()
+                sets = shingle_sets([raw[a:b] for a, b in zip(at, at[1:])], COPY_WORDS)
+                sizes, names = [len(x) for x in sets], [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets]
+                if often is not None:
+                    keys, counts = often
+                    for k, x in enumerate(sets):
+                        # any one order of all shingles will do; with rare ones first, few strangers meet
+                        place = np.minimum(np.searchsorted(keys, x), max(len(keys) - 1, 0))
+                        rank = np.where(keys[place] == x, counts[place], 0) if len(keys) else np.zeros(len(x), np.int64)
+                        sets[k] = x[np.lexsort((x, rank))][: len(x) - (4 * len(x) + 4) // 5 + 1]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+                own = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays(own, ["doc_id", "h", "sh", "n", "s"])
+
+    return run
+
+
+def keep_dissimilar(docs: DataFrame) -> DataFrame:
+    """One row of each group of ``docs`` that links of Jaccard 0.8 or more over sets of five-word shingles connect.
+
+    The row with the smallest doc_id stays, one without doc_id only where no row of its group has one. Exact: of two
+    such sets, ordered alike, the first n - ceil(0.8 n) + 1 shingles share one, and each pair met so is counted out.
+    """
+    spark = docs.sparkSession
+    C.tune(spark)
+    kind = "doc_id long, h long, sh long, n int, s array<long>"
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    # common shingles of a sample: they set the order, not the result
+    total = docs.count()
+    part = plain.where(F.pmod("h", F.lit(max(1, total // SAMPLE_ROWS))) == 0)
+    common = part.mapInArrow(_sets(None), kind).select(F.explode("s").alias("k")).groupBy("k").count().where(F.col("count") >= OFTEN)
+    found = sorted((x[0], x[1]) for x in common.orderBy(F.desc("count")).limit(100_000).collect())
+    often = np.array([k for k, _ in found], np.int64), np.array([c for _, c in found], np.int64)
+    rows = C.materialise(plain.mapInArrow(_sets(often), kind), "sets")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    sets = C.materialise(rows.groupBy("sh").agg(F.min(order).alias("w"), F.first("n").alias("n"), F.first("s").alias("s")), "uniq")
+    keys = sets.select("sh", "n", F.explode("s").alias("key"))
+    met = keys.toDF("a", "na", "key").join(keys.toDF("b", "nb", "key"), "key").where("a < b and 5 * least(na, nb) >= 4 * greatest(na, nb)")
+    met = C.materialise(met.select("a", "b").distinct(), "met")
+    own = met.select(F.explode(F.array("a", "b")).alias("sh")).distinct().join(sets, "sh").select(F.col("w.h").alias("h")).distinct()
+    whole = plain.join(own, "h", "left_semi").dropDuplicates(["h"]).select("doc_id", "h", "text").mapInArrow(_sets(None), kind).select("sh", "n", "s")
+    whole = C.materialise(whole, "whole")
+    both = met.join(whole.toDF("a", "na", "sa"), "a").join(whole.toDF("b", "nb", "sb"), "b")
+    edges = both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+    roots = components(edges)
+    best = sets.join(roots, sets.sh == roots.v, "left").groupBy(F.coalesce("root", "sh").alias("g")).agg(F.min("w").alias("w"))
+    best = C.materialise(best.select(F.coalesce("w.doc_id", F.lit(0)).alias("_d"), F.col("w.none").alias("_dn"), F.col("w.h").alias("_h")), "best")
+    on = ["_d", "_dn", "_h"]
+    kept = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_dn": F.col("doc_id").isNull(), "_h": F.xxhash64(text)}).join(best, on, "left_semi")
+    if not rows.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(on)
+    return kept.select(*docs.columns)
