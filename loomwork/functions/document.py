@@ -68,7 +68,7 @@ def dig(value: Any, path: str) -> Any:
     return value
 
 
-def json_leaves(value: Any, budget: int = 1000) -> list[str]:
+def json_leaves(value: Any, budget: int = 20_000) -> list[str]:
     out: list[str] = []
     stack = [value]
     while stack and len(out) < budget:
@@ -107,7 +107,7 @@ def merged_shape(items: list[dict]) -> dict[str, Any]:
     return out
 
 
-def json_skeleton(value: Any, max_lines: int = 60, chars: int = 40) -> str:
+def json_skeleton(value: Any, max_lines: int = 400, chars: int = 40) -> str:
     lines: list[str] = []
 
     def add(v: Any, name: str, depth: int) -> None:

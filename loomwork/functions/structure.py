@@ -136,7 +136,7 @@ def clickable(n: Node) -> bool:
     )
 
 
-def skeleton(doc: Document, max_lines: int = 200, text_chars: int = 40, drop_chrome: bool = False) -> str:
+def skeleton(doc: Document, max_lines: int = 400, text_chars: int = 40, drop_chrome: bool = False) -> str:
     """An indented outline of open tags; ``*n`` marks a container of n records, ``!`` something to click."""
     if doc.root is None:
         return ""
