@@ -132,6 +132,12 @@ def _tail(spec: str):
     return run
 
 
+def _no_pages(step: Step) -> None:
+    """Walks over further pages of a step aren't carried out: better no rows than page 1 alone."""
+    if dict(step.kwargs).get("paginate") is not None:
+        raise PlanError("resolve.paginate", "resolve(paginate=...) isn't carried out")
+
+
 @dataclass(frozen=True)
 class Query:
     """A plan bound to nothing yet."""
@@ -197,6 +203,7 @@ class Engine:
 
     def _from_refs(self, refs: DataFrame, step: Step, rest: Plan) -> DataFrame:
         """Resolve a table of urls and run ``rest`` on each document; an url met twice is read once."""
+        _no_pages(step)
         wanted = refs.select("url").distinct()
         docs = self.corpus.join(wanted, "url")
         if not dict(step.kwargs).get("optional"):
@@ -229,6 +236,7 @@ class Engine:
         # a row's values as JSON texts, so that types outlive the round trip
         rows = base.select("url", F.posexplode(F.from_json("found", "array<string>")).alias("_pos", "_row"))
         for k, (_, res, rest) in cut.items():
+            _no_pages(res)
             link = F.get_json_object("_row", f"$._ref_{k}")
             linked = rows.withColumn("_link", link)
             pages = self.corpus.join(linked.select(F.col("_link").alias("url")).where("url is not null").distinct(), "url")
