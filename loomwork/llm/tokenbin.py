@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import textkernel as K
 
 MAGIC, END_ID, BLOCK = b"LWWM0001", 0, 512
 #: Ids in one file: bounds a worker's memory and the loss when a task is run again.
@@ -124,8 +125,8 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             back = np.empty(self.n, kind)
-            np.place(back, ~bit, now[: self.zeros[level]])
-            np.place(back, bit, now[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level)))
+            back[np.flatnonzero(~bit)] = now[: self.zeros[level]]
+            back[np.flatnonzero(bit)] = now[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
             now = back
         return now
 
@@ -137,18 +138,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+#: Kinds of characters that the byte-level pattern tells apart; _HEAD begins a character of more bytes than one.
+_LETTER, _NUMBER, _SPACE, _OTHER, _HEAD, _TAIL = 1, 2, 3, 4, 5, 6
+
+
 class PieceEncoder:
-    """Ids of whole texts, each distinct piece encoded once while it is remembered.
+    """Ids of whole texts, each distinct pre-token given to the tokenizers library once while it is remembered.
 
-    A byte-level pre-tokenizer never carries a token over a space that white space doesn't follow: such a space begins
-    a token. Texts are cut there, so pieces have the ids they have in place. In a piece of words, marks after words and
-    single line ends, each of these is one pre-token; such words go to the model many at a time. All other pieces pass
-    the whole tokenizer, and so do texts that hold a special token, or white space after a space.
+    For a byte-level vocabulary with the usual pattern, the pattern's cuts are found for a batch at once: characters are
+    classed (by asking the library, once each), runs of a class are pre-tokens, a space goes to the
+    pre-token after it. Distinct pre-tokens that aren't remembered then go to the model, many to a call. Texts with a
+    special token pass the whole tokenizer, as do all texts of any other kind of vocabulary.
     """
 
-    #: Pieces met in more than one batch; and those met lately, twice over.
-    KNOWN, RECENT = 700_000, 350_000
-    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Pre-tokens met in more than one batch; and those met lately, twice over.
+    KNOWN, RECENT = 500_000, 250_000
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -156,130 +160,161 @@ class PieceEncoder:
 
         self.tokenizer, self.bare = Tokenizer.from_file(file), Tokenizer.from_file(file)
         kind = json.loads(self.tokenizer.to_str())
-        # the short cuts hold for a byte-level tokenizer that adds no space and has the usual pattern, and no other
-        pre = kind.get("pre_tokenizer") or {}
-        self.plain = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        pre, model = kind.get("pre_tokenizer") or {}, kind.get("model") or {}
+        self.plain = (
+            kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+            and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        )
         self.bare.pre_tokenizer = WhitespaceSplit()
-        self.letters = _byte_letters()
+        # UTF-8 never holds the bytes FE and FF: one is the letter between pre-tokens of a call, one the space around it
+        self.letters = np.array([ord(x) for _, x in sorted(_byte_letters().items())], "<u4")
+        self.between = self.tokenizer.token_to_id(chr(self.letters[0xFE]))
+        self.letters[0xFF] = 32
+        self.plain = self.plain and self.between is not None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.starts: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
-        self.line_end = self._whole(["a\na"])[0][1:2].tobytes()
+        self.kinds = np.zeros(0x110000, np.uint8)
+        self.bytes = np.full(256, _HEAD, np.uint8)
+        self.bytes[:128] = [self._kind(chr(b)) for b in range(128)] if self.plain else _OTHER
+        self.bytes[128:192] = _TAIL
+        self.known: dict[bytes, bytes] = {}
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, memo: dict[str, bytes], words: list[str], lead: str) -> None:
-        """Remember the ids of words of letters, a thousand to a call: white space parts them and is left out."""
-        table = self.letters
-        mapped = [lead + (w if w.isascii() else w.encode().decode("latin-1").translate(table)) for w in words]
-        for i in range(0, len(words), 1000):
-            few = words[i : i + 1000]
-            found = self.bare.encode(" ".join(mapped[i : i + 1000]), add_special_tokens=False)
-            raw = np.array(found.ids, np.uint32).tobytes()
-            cuts = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(few) + 1))).tolist()
-            for w, a, b in zip(few, cuts, cuts[1:]):
-                memo[w] = raw[a:b]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Remember for a while the ids of a space and each piece, none of which is known."""
-        known, recent, older, starts, marks = self.known, self.recent, self.older, self.starts, self.marks
-        words, heads, planned, other = {}, {}, [], []
-        for p in pieces:
-            if p.isalpha():
-                words[p] = None
-                continue
-            cut = []
-            for part in p.split("\n"):
-                word = part.rstrip(self.MARKS)
-                if not word.isalpha():
-                    other.append(p)
-                    break
-                cut.append((word, part[len(word) :]))
-            else:
-                planned.append((p, cut))
-                word = cut[0][0]
-                if word not in known and word not in recent and word not in older:
-                    words[word] = None
-                for word, _ in cut[1:]:
-                    if word not in starts:
-                        heads[word] = None
-        self._words(recent, list(words), chr(288))
-        self._words(starts, list(heads), "")
-        fresh = list({m for _, cut in planned for _, m in cut if m not in marks})
-        marks.update(zip(fresh, (x.tobytes() for x in self._whole(fresh))))
-        for p, cut in planned:
-            word = cut[0][0]
-            ids = [known.get(word) or recent.get(word) or older[word], marks[cut[0][1]]]
-            for word, mark in cut[1:]:
-                ids += [self.line_end, starts[word], marks[mark]]
-            recent[p] = b"".join(ids)
-        for p, ids in zip(other, self._whole([" " + p for p in other])):
-            recent[p] = ids.tobytes()
-
-    def _found(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces. One that a later batch meets again becomes known; the others are soon forgotten."""
+    def _kind(self, c: str) -> int:
+        """How the library's pattern classes a character, read from where it cuts."""
+        cut = lambda x: [span for _, span in self.tokenizer.pre_tokenizer.pre_tokenize_str(x)]
+        around = cut(f"a{c}1")
+        if len(around) == 2 and c != " ":
+            return _LETTER if around[0] == (0, 2) else _NUMBER
+        return _SPACE if len(cut(f"{c}\n")) == 1 else _OTHER
+
+    def _classes(self, data: np.ndarray) -> np.ndarray:
+        """The class of each byte; all bytes of a character have its class."""
+        kinds = self.bytes[data]
+        heads = np.flatnonzero(kinds == _HEAD)
+        if not len(heads):
+            return kinds
+        padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32)
+        lead, b1, b2, b3 = (padded[heads + k] for k in range(4))
+        b1, b2, b3 = b1 & 63, b2 & 63, b3 & 63
+        points = np.where(lead < 0xE0, (lead & 31) << 6 | b1, np.where(lead < 0xF0, (lead & 15) << 12 | b1 << 6 | b2, (lead & 7) << 18 | b1 << 12 | b2 << 6 | b3))
+        for c in np.unique(points[self.kinds[points] == 0]).tolist():
+            self.kinds[c] = self._kind(chr(c))
+        own = self.kinds[points]
+        kinds[heads] = own
+        for k, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+            long = lead >= least
+            kinds[heads[long] + k] = own[long]
+        return kinds
+
+    def cuts(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Where the pattern begins a pre-token in these bytes; ``rows`` are the texts' first places (no empty text)."""
+        kinds, n = self._classes(data), len(data)
+        begin = np.empty(n, bool)
+        begin[0] = True
+        np.not_equal(kinds[1:], kinds[:-1], out=begin[1:])
+        edge = np.zeros(n + 1, bool)
+        edge[rows] = edge[n] = begin[rows] = True
+        # a run of white space: its last character leaves it where something else of the same text follows
+        run = np.flatnonzero(begin)
+        white = np.flatnonzero(kinds[run] == _SPACE)
+        ends = np.append(run, n)[white + 1]
+        inner = ~edge[ends]
+        first, last = run[white][inner], ends[inner] - 1
+        while (tail := data[last] & 0xC0 == 0x80).any():
+            last[tail] -= 1
+        begin[last] = True
+        blank = data[last] == 32
+        begin[last[blank] + 1] = False
+        # contractions, where a run begins with the mark and no space was drawn to it
+        marks = np.flatnonzero((data == 39) & begin)
+        if len(marks):
+            stop = np.append(rows, n)[np.searchsorted(rows, marks, "right")]
+            after = np.concatenate([data, np.zeros(2, np.uint8)])
+            one, two = after[marks + 1], after[marks + 2]
+            short = (marks + 1 < stop) & np.isin(one, np.frombuffer(b"stmd", np.uint8))
+            long = (marks + 2 < stop) & (((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108))
+            for found, size in ((short, 2), (long, 3)):
+                at = marks[found]
+                begin[at + 1] = False
+                rest = at + size
+                begin[rest[rest < n]] = True
+        return np.flatnonzero(begin)
+
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pre-tokens, a thousand to a call of the library."""
+        out = []
+        for i in range(0, len(pieces), 1000):
+            few = np.frombuffer(b"\xff\xfe\xff".join(pieces[i : i + 1000]), np.uint8)
+            said = self.letters[few].tobytes().decode("utf-32-le")
+            ids = np.array(self.bare.encode_batch_fast([said], add_special_tokens=False)[0].ids, np.uint32)
+            raw, cut = ids.tobytes(), (4 * np.flatnonzero(ids == self.between)).tolist()
+            out += [raw[a:b] for a, b in zip([0, *(x + 4 for x in cut)], [*cut, len(raw)])]
+        return out
+
+    def _found(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pre-tokens. One that a later batch meets again becomes known; the others are soon forgotten."""
         if len(self.recent) > self.RECENT:
             self.older, self.recent = self.recent, {}
-            self.starts.clear()
-            self.marks = {"": b""}
         if len(self.known) > self.KNOWN:
             # what this batch holds is likely to come again
             self.known = {p: self.known[p] for p in pieces if p in self.known}
         known, recent, older = self.known, self.recent, self.older
-        found, fresh = list(map(known.get, pieces)), []
-        for i in [i for i, x in enumerate(found) if x is None]:
+        found = list(map(known.get, pieces))
+        strange = [i for i, x in enumerate(found) if x is None]
+        fresh = []
+        for i in strange:
             p = pieces[i]
             if x := recent.get(p) or older.get(p):
                 known[p] = found[i] = x
             else:
                 fresh.append(i)
-        self._learn([pieces[i] for i in fresh])
-        for i in fresh:
-            found[i] = recent[pieces[i]]
+        new = [pieces[i] for i in fresh]
+        own = self._learn(new)
+        recent.update(zip(new, own))
+        for i, x in zip(fresh, own):
+            found[i] = x
         return found
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows of a string column, and how many each row has."""
-        texts = pc.fill_null(column, "")
-        odd = pc.match_substring_regex(texts, r" [\s\v\x{1c}-\x{1f}\x{85}\pZ]| $|^$")
+        texts = pc.fill_null(column.cast(pa.large_string()), "")
+        whole = np.zeros(len(texts), bool)
         for s in self.special:
-            odd = pc.or_(odd, pc.match_substring(texts, s))
-        odd = odd.to_numpy(zero_copy_only=False) if self.plain else np.ones(len(texts), bool)
-        out: list[np.ndarray | None] = [None] * len(texts)
-        rows = np.flatnonzero(odd)
-        for row, ids in zip(rows.tolist(), self._whole(texts.take(pa.array(rows)).to_pylist())):
-            out[row] = ids
-        rows = np.flatnonzero(~odd)
-        if len(rows):
-            cut = pc.split_pattern(texts.take(pa.array(rows)), " ")
-            stops = cut.offsets.to_numpy()
-            flat = pc.dictionary_encode(cut.values.slice(stops[0], stops[-1] - stops[0]))
-            stops = stops - stops[0]
-            pieces = flat.dictionary.to_pylist()
-            found = self._found(pieces)
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if not self.plain:
+            whole[:] = True
+        odd = np.flatnonzero(whole)
+        given = dict(zip(odd.tolist(), self._whole(texts.take(pa.array(odd)).to_pylist())))
+        data, off = K.column_bytes(pc.if_else(pa.array(whole), "", texts) if len(odd) else texts)
+        lengths = np.zeros(len(texts), np.int64)
+        if len(data):
+            rows = off[:-1][np.diff(off) > 0]
+            cuts = self.cuts(data, rows)
+            bounds = pa.py_buffer(np.append(cuts, len(data)).astype(np.int64))
+            flat = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, bounds, pa.py_buffer(data)]).dictionary_encode()
+            found = self._found(flat.dictionary.to_pylist())
             sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
             pool, begins = np.frombuffer(b"".join(found), np.uint32), np.cumsum(sizes) - sizes
-            index = flat.indices.to_numpy().astype(np.int64)
-            # a text's first piece has no space before it: its own ids take that place
-            heads = index[stops[:-1]]
-            names = list(dict.fromkeys(pieces[h] for h in heads.tolist()))
-            firsts = dict(zip(names, self._whole(names)))
-            index[stops[:-1]] = -1
-            inner = index[index >= 0]
-            each = sizes[inner]
-            total = np.cumsum(each)
-            at = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begins[inner] - (total - each), each)
-            body = pool[at]
-            per = np.diff(stops) - 1
-            ends = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(per)])]
-            for k, row in enumerate(rows.tolist()):
-                out[row] = np.concatenate([firsts[pieces[heads[k]]], body[ends[k] : ends[k + 1]]])
-        lengths = np.fromiter(map(len, out), np.int64, len(out))
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), lengths
+            index = flat.indices.to_numpy()
+            each = sizes[index]
+            total = np.concatenate([[0], np.cumsum(each)])
+            kind = np.int32 if max(total[-1], len(pool)) < 2**31 else np.int64
+            at = np.arange(total[-1], dtype=kind)
+            at += np.repeat((begins[index] - total[:-1]).astype(kind), each)
+            ids = pool[at]
+            lengths = np.diff(total[np.searchsorted(cuts, off)])
+        else:
+            ids = np.zeros(0, np.uint32)
+        if given:
+            cut = np.split(ids, np.cumsum(lengths)[:-1])
+            for row, own in given.items():
+                cut[row], lengths[row] = own, len(own)
+            ids = np.concatenate(cut)
+        return ids, lengths
 
 
 _encoders: dict[str, PieceEncoder] = {}
