@@ -56,6 +56,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` by name, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def row_keys(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a whole row: rows that differ in any column differ in them, but for one chance in 2**128."""
+    own = []
+    for c, field in zip(named(df), df.schema.fields):
+        plain = F.to_json(F.struct(c)) if "map<" in field.dataType.simpleString() or "variant" in field.dataType.simpleString() else c
+        own += [c.isNull(), plain]  # the hash passes over nulls
+    return F.xxhash64(*own), F.xxhash64(F.lit("second"), *own)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

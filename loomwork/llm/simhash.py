@@ -1,10 +1,15 @@
 """SimHash near-duplicates by a binary trie self-join.
 
-Fingerprints meet in trie nodes. Three rotations bring each third of the 64 bits to the front; two fingerprints
-within two bits share one third whole, so the trie below that third, walked with itself under what is left of the
-error budget, finds every link. Nodes that hold more than ``HOT_NODE`` fingerprints are taken eight bits deeper and
-handed out as pairs of nodes, so no task gets an unbounded node. A task returns a spanning forest of its links, never
-all pairs; connected components come from alternating large and small stars over written edge tables.
+Three rotations bring each third of the 64 bits to the front. Two fingerprints within two bits share one third whole,
+so in one of the rotations their paths part below that third at the earliest. Nodes of the trie, at the depth where
+they hold some ``NODE`` fingerprints, are the unit of distribution; a node that holds more than ``HOT_NODE`` is taken
+eight bits deeper and handed out as pairs of nodes, again and again until none is left that large. A task walks its
+node with itself, level by level: pairs of nodes carry the bits in which they differ, and a pair that overruns the
+error budget is dropped with all that lies under it. A task returns a spanning forest of its links, never all pairs;
+connected components come from alternating large and small stars over written edge tables.
+
+``keep_one_of_each`` goes on from there: it also links texts whose sets of five-word shingles are alike by 0.8 or
+more, exactly, and keeps one row of each group.
 """
 
 from __future__ import annotations
@@ -23,9 +28,16 @@ from . import textkernel as K
 BITS, DISTANCE, WORDS = 64, 2, 3
 #: First bit and length of the thirds.
 THIRDS = ((0, 22), (22, 21), (43, 21))
-HOT_NODE, DEEPER = 50_000, 8
-#: Words of a shingle of keep_dissimilar; rows of its sample, and how often a shingle occurs there to be common.
-COPY_WORDS, SAMPLE_ROWS, OFTEN = 5, 20_000, 4
+#: Fingerprints of a node as handed out; beyond HOT_NODE it is split by DEEPER bits, down to DEEPEST. Pairs of a leaf.
+NODE, HOT_NODE, DEEPER, DEEPEST, LEAF = 4096, 50_000, 8, 48, 8
+#: Words of a shingle of keep_one_of_each. Of the shingles' counts over all documents only the order depends.
+COPY_WORDS = 5
+#: Shingles below this hash are counted: prefixes are mostly cut from there. How many of the most frequent are put last, and from which count.
+COUNTED, LAST, OFTEN = 1 << 46, 200_000, 8
+#: Rows of one key that are compared with one another in one group.
+BLOCK_ROWS = 1000
+#: Ids that may be sent to every executor; beyond, tables are joined.
+BROADCAST_IDS = 1_000_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -75,151 +87,197 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
 
-def _leaf(values: np.ndarray, a: int, b: int, c: int, d: int, budget: int, join) -> None:
-    for i in range(a, b):
-        at = max(c, i + 1) if a == c else c
-        for j in np.flatnonzero(np.bitwise_count(values[at:d] ^ values[i]) <= budget):
-            join(i, at + int(j))
+class Walk:
+    """The trie over sorted distinct values, walked with itself (or one node with another) under an error budget.
 
+    A node is a span of the sorted array. ``visited`` and ``pruned`` count pairs of nodes, ``compared`` pairs of
+    values that were compared in leaves.
+    """
 
-def trie_join(values: np.ndarray, budget: int, bit: int, join, spans: tuple[int, int, int, int] | None = None) -> None:
-    """Call ``join(i, j)`` for all pairs of the sorted ``values`` at most ``budget`` bits apart below ``bit``.
+    def __init__(self, values: np.ndarray, budget: int = DISTANCE, alike: int = 0):
+        self.values, self.budget = values, budget
+        #: Bits from the top that may not differ.
+        self.alike = alike
+        self.visited = self.pruned = self.compared = 0
+
+    def _middle(self, a: np.ndarray, bit: int) -> np.ndarray:
+        """Where, in the node that begins at ``a``, the values begin that have the bit."""
+        path = self.values[a] >> np.uint64(bit) | np.uint64(1)
+        return np.searchsorted(self.values, path << np.uint64(bit))
+
+    def _leaves(self, a, b, c, d) -> tuple[np.ndarray, np.ndarray]:
+        wide = d - c
+        count = (b - a) * wide
+        which = np.repeat(np.arange(len(a)), count)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        i, j = a[which] + at // wide[which], c[which] + at % wide[which]
+        keep = i < j
+        i, j = i[keep], j[keep]
+        self.compared += len(i)
+        apart = self.values[i] ^ self.values[j]
+        good = np.bitwise_count(apart) <= self.budget
+        if self.alike:
+            good &= apart >> np.uint64(BITS - self.alike) == 0
+        return i[good], j[good]
+
+    def links(self, depth: int = 0, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places (i, j), i < j, of all linked values. With ``split``, only those that are linked across that place.
+
+        All values share their ``depth`` first bits; with ``split``, those on either side of it do.
+        """
+        n, found = len(self.values), []
+        ends = [0, n, 0, n] if split is None else [0, split, split, n]
+        a, b, c, d = (np.array([x]) for x in ends)
+        used = np.zeros(1, np.int64)
+        if split is not None and depth and 0 < split < n:
+            used[0] = int(np.bitwise_count((self.values[0] ^ self.values[-1]) >> np.uint64(BITS - depth)))
+        for bit in range(BITS - 1 - depth, -1, -1):
+            same = (a == c) & (b == d)
+            alive = np.where(same, b - a > 1, (b > a) & (d > c))
+            a, b, c, d, used = (x[alive] for x in (a, b, c, d, used))
+            self.visited += len(a)
+            small = (b - a) * (d - c) <= LEAF
+            if small.any():
+                found.append(self._leaves(a[small], b[small], c[small], d[small]))
+                a, b, c, d, used = (x[~small] for x in (a, b, c, d, used))
+            if not len(a):
+                break
+            same = (a == c) & (b == d)
+            m = np.clip(self._middle(a, bit), a, b)
+            k = np.where(same, m, np.clip(self._middle(c, bit), c, d))
+            steps = [(a, m, c, k, used), (m, b, k, d, used)]
+            may = (used < self.budget) if bit < BITS - self.alike else np.zeros(len(a), bool)
+            self.pruned += int(np.count_nonzero(~may))
+            steps.append((a[may], m[may], k[may], d[may], used[may] + 1))
+            may &= ~same
+            steps.append((m[may], b[may], c[may], k[may], used[may] + 1))
+            a, b, c, d, used = (np.concatenate(x) for x in zip(*steps))
+        else:
+            found.append(self._leaves(a, b, c, d))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    A node of the trie is a span of the sorted array. Pairs of nodes are walked together; each level adds its
-    differing bit to the bill, and a pair that overruns the budget is dropped with all that lies under it.
-    """
-    n = len(values)
-    stack = [(*(spans or (0, n, 0, n)), bit, budget)]
-    while stack:
-        a, b, c, d, bit, left = stack.pop()
-        if a >= b or c >= d or (a == c and b - a < 2):
-            continue
-        if bit < 0 or (b - a) * (d - c) <= 4096:
-            # the prefix's differences are in the xor as well, so the whole budget applies
-            _leaf(values, a, b, c, d, budget, join)
-            continue
-        mask = np.uint64(1 << bit)
-        m = a + int(np.searchsorted((values[a:b] & mask) != 0, True))
-        k = m if a == c else c + int(np.searchsorted((values[c:d] & mask) != 0, True))
-        stack.append((a, m, c, k, bit - 1, left))
-        stack.append((m, b, k, d, bit - 1, left))
-        if left:
-            stack.append((a, m, k, d, bit - 1, left - 1))
-            if a != c:
-                stack.append((m, b, c, k, bit - 1, left - 1))
-
-
-def _forest(values: np.ndarray, budget: int, split: int | None = None) -> tuple[list[int], list[int]]:
-    """Edges (value, smallest value of its group) of the links among sorted values; split: only across that place."""
-    parent = list(range(len(values)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def join(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-
-    top = BITS - 1
-    if split is None:
-        trie_join(values, budget, top, join)
-    else:
-        trie_join(values, budget, top, join, (0, split, split, len(values)))
-    roots = [(i, find(i)) for i in range(len(values))]
-    return [i for i, r in roots if i != r], [r for i, r in roots if i != r]
 
+def trie_join(values: np.ndarray, budget: int, bit: int, join) -> None:
+    """Call ``join(i, j)``, i < j, for all pairs of the sorted ``values`` at most ``budget`` bits apart; all are alike above ``bit``."""
+    for i, j in zip(*(x.tolist() for x in Walk(values, budget).links(BITS - 1 - bit))):
+        join(i, j)
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (third, node, left, right): walk each node, or pair of nodes, and return its links as a forest."""
-    rest: list[np.ndarray] = []
-
-    def done(block: np.ndarray) -> Iterator[pa.RecordBatch]:
-        change = np.flatnonzero((block[1:, :4] != block[:-1, :4]).any(axis=1)) + 1
-        bounds = np.concatenate([[0], change, [len(block)]])
-        big = np.flatnonzero(np.diff(bounds) > 1)
-        ones, twos = [], []
-        for g in big.tolist():
-            rows = block[bounds[g] : bounds[g + 1]]
-            values = rows[:, 4].view(np.uint64)
-            third, _, left, right = rows[0, :4].tolist()
-            if left != right:
-                first, size = THIRDS[third]
-                own = _deeper(values, first + size) == np.uint64(left)
-                order = np.concatenate([np.sort(values[own]), np.sort(values[~own])])
-                a, b = _forest(order, DISTANCE, int(own.sum()))
-            else:
-                order = np.sort(values)
-                a, b = _forest(order, DISTANCE)
-            ones.append(order[a])
-            twos.append(order[b])
-        if ones:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (ones, twos)], ["a", "b"])
 
-    for batch in batches:
-        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1) if batch.num_rows else np.zeros((0, 5), np.int64)
-        if not len(rows):
-            continue
-        rows = np.concatenate([*rest, rows]) if rest else rows
-        last = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(axis=1))
-        cut = int(last[-1]) + 1 if len(last) else 0
-        if cut:
-            yield from done(np.ascontiguousarray(rows[:cut]))
-        rest = [np.ascontiguousarray(rows[cut:])]
-    if rest:
-        yield from done(rest[0])
+def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (place, smallest place of its group) of the groups that links among ``n`` places make."""
+    least = np.arange(n)
+    while True:
+        before = least.copy()
+        np.minimum.at(least, i, least[j])
+        np.minimum.at(least, j, least[i])
+        least = least[least]
+        if np.array_equal(before, least):
+            break
+    moved = np.flatnonzero(least != np.arange(n))
+    return moved, least[moved]
 
 
-def _deeper(values: np.ndarray, place: int) -> np.ndarray:
-    """The ``DEEPER`` bits that follow ``place`` bits of each value, around the end."""
-    return np.array([_rotated(int(v), place) >> (BITS - DEEPER) for v in values], np.uint64)
+def _turn(values: np.ndarray, by: int) -> np.ndarray:
+    """64-bit values turned left by so many bits."""
+    return values << np.uint64(by) | values >> np.uint64(BITS - by) if by % BITS else values
 
 
-def _rotated(v: int, by: int) -> int:
-    by %= BITS
-    return ((v << by) | (v >> (BITS - by))) & (2**64 - 1) if by else v
+def _node_links(keys: list[int], turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links in one task's node, or pair of nodes, as pairs of fingerprints."""
+    third, depth, lo, hi = keys
+    first, size = THIRDS[third]
+    values = np.sort(turned)
+    split = None if lo == hi else int(np.searchsorted(values, np.uint64(hi) << np.uint64(BITS - depth)))
+    a, b = _forest(len(values), *Walk(values, DISTANCE, size).links(depth, split))
+    return _turn(values[a], BITS - first), _turn(values[b], BITS - first)
 
 
-def links(prints: DataFrame, hot: int = HOT_NODE) -> DataFrame:
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (third, depth, lo, hi): walk each node, or pair of nodes. Only the node at hand is held."""
+    held: list[np.ndarray] = []
+    own: list[int] = []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        values = np.concatenate(held).view(np.uint64)
+        if len(values) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in _node_links(own, values)], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+        bounds = [0, *(np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1).tolist(), len(rows)]
+        for x, y in zip(bounds, bounds[1:]):
+            keys = rows[x, :4].tolist()
+            if held and keys != own:
+                yield from done()
+                held.clear()
+            own = keys
+            held.append(np.ascontiguousarray(rows[x:y, 4]))
+    if held:
+        yield from done()
+
+
+_KEYS = ("third", "depth", "lo", "hi")
+
+
+def _shift(value, by):
+    """Unsigned shift to the right by 64 bits at most."""
+    return F.when(by < BITS, F.call_function("shiftrightunsigned", value, by)).otherwise(F.lit(0).cast("long"))
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """Nodes, or pairs of nodes, taken ``DEEPER`` bits down: each fingerprint goes to the pairs that may still be linked."""
+    few = sorted(range(1 << DEEPER), key=lambda x: (x.bit_count(), x))
+    masks = F.array(*(F.lit(x) for x in few if x.bit_count() <= DISTANCE))
+    used = F.bit_count(F.col("lo").bitwiseXOR(F.col("hi")))
+    sizes = F.element_at(F.array(*(F.lit(size) for _, size in THIRDS)), F.col("third").cast("int") + 1)
+    fixed = F.greatest(F.lit(0), F.least(F.lit(DEEPER), sizes - F.col("depth")))
+    own, next_ = _shift(F.col("turned"), F.lit(BITS) - F.col("depth")), _shift(F.col("turned"), F.lit(BITS - DEEPER) - F.col("depth"))
+    other = F.when(F.col("lo") == F.col("hi"), own).when(own == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+    may = rows.select("third", "depth", "turned", next_.alias("next"), other.alias("other"), F.filter(masks, lambda x: (F.bit_count(x) + used <= DISTANCE) & (x < F.call_function("shiftleft", F.lit(1), F.lit(DEEPER) - fixed))).alias("masks"))
+    may = may.select("third", "depth", "turned", "next", "other", F.explode("masks").alias("mask"))
+    partner = F.shiftleft("other", DEEPER).bitwiseOR(F.col("next").bitwiseAND(F.lit((1 << DEEPER) - 1).cast("long")).bitwiseXOR(F.col("mask").cast("long")))
+    return may.select("third", (F.col("depth") + DEEPER).cast("int").alias("depth"), F.least("next", partner).alias("lo"), F.greatest("next", partner).alias("hi"), "turned")
+
+
+def links(prints: DataFrame, hot: int = HOT_NODE, node: int = NODE) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints ``fp`` of ``prints`` exactly as links of two bits or less do."""
-    bits = lambda at, size: F.shiftrightunsigned(F.shiftleft(F.col("fp"), at % BITS), BITS - size)
-    around = lambda at: F.shiftrightunsigned(F.shiftleft(F.col("fp"), at % BITS), BITS - DEEPER)
-    nodes = F.explode(F.array(*(F.struct(F.lit(k).alias("third"), bits(at, size).alias("node"), around(at + size).alias("deep")) for k, (at, size) in enumerate(THIRDS))))
-    placed = prints.select("fp", nodes.alias("n")).select("fp", "n.*")
-    hot_nodes = placed.groupBy("third", "node").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select("third", "node", F.lit(True).alias("_hot"))
-    near = [0, *(1 << i for i in range(DEEPER)), *((1 << i) | (1 << j) for i in range(DEEPER) for j in range(i))]
-    partners = F.when(F.col("_hot"), F.array(*(F.col("deep").bitwiseXOR(F.lit(x).cast("long")) for x in near))).otherwise(F.array(F.lit(-1).cast("long")))
-    tasks = (
-        placed.join(hot_nodes, ["third", "node"], "left")
-        .withColumn("other", F.explode(partners))
-        .select(
-            F.col("third").cast("long").alias("third"),
-            "node",
-            F.when(F.col("other") < 0, F.lit(-1)).otherwise(F.least("deep", "other")).cast("long").alias("lo"),
-            F.when(F.col("other") < 0, F.lit(-1)).otherwise(F.greatest("deep", "other")).cast("long").alias("hi"),
-            "fp",
-        )
-    )
-    keys = ["third", "node", "lo", "hi"]
-    return tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_walk, "a long, b long")
+    depth = min(min(size for _, size in THIRDS), max(0, (prints.count() // node).bit_length()))
+    turn = lambda at: F.shiftleft("fp", at).bitwiseOR(F.shiftrightunsigned("fp", BITS - at)) if at else F.col("fp")
+    turned = F.explode(F.array(*(F.struct(F.lit(k).alias("third"), turn(at).alias("turned")) for k, (at, _) in enumerate(THIRDS))))
+    path = F.shiftrightunsigned("turned", BITS - depth) if depth else F.lit(0).cast("long")
+    rows = prints.select(turned.alias("x")).select("x.*").select(F.col("third").cast("int").alias("third"), F.lit(depth).alias("depth"), path.alias("lo"), path.alias("hi"), "turned")
+    rows = C.materialise(rows, "nodes")
+    while depth + DEEPER <= DEEPEST:
+        big = C.materialise(rows.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).drop("n"), "hot")
+        if big.isEmpty():
+            break
+        # a hot node is cut by its rows' own bits, so they meet it in many places
+        spread = rows.withColumn("_spread", C.spread_of(F.col("turned")))
+        marked = C.lookup(spread, _KEYS, big.withColumn("_hot", F.lit(True)), "_spread").drop("_spread")
+        calm = marked.where("_hot is null").drop("_hot")
+        rows = C.materialise(calm.unionByName(_split(marked.where("_hot"))), "nodes")
+        depth += DEEPER
+    return rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS).select(*(F.col(k).cast("long").alias(k) for k in _KEYS), "turned").mapInArrow(_walk, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root): the smallest vertex that each vertex of ``edges`` (a, b) reaches, by alternating large and small stars."""
-    spark = edges.sparkSession
+    """(v, root): the smallest vertex that each vertex of ``edges`` (a, b) reaches, by alternating large and small stars.
+
+    A vertex with very many neighbours meets its smallest one in ``SPREAD`` places.
+    """
     edges = C.materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
     while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = C.materialise(large, "large")
+        met = C.lookup(both.withColumn("_spread", C.spread_of(F.col("v"))), ["u"], least, "_spread")
+        large = C.materialise(met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = C.materialise(small, "small")
+        met = C.lookup(large.withColumn("_spread", C.spread_of(F.col("b"))), ["a"], least, "_spread")
+        ends = F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+        edges = C.materialise(met.select(ends.alias("e")).select("e.*").where("a <> b").distinct(), "small")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break
@@ -242,99 +300,223 @@ def near_duplicates(docs: DataFrame, hot: int = HOT_NODE) -> DataFrame:
     roots = components(links(prints.select("fp"), hot))
     rooted = C.materialise(prints.join(roots, prints.fp == roots.v, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    table = rooted.join(least, "root").select("fp", "component_id")
+    table = C.lookup(rooted.withColumn("_spread", C.spread_of(F.col("fp"))), ["root"], least, "_spread").select("fp", "component_id")
     return C.lookup(rows, ["fp"], table, "_spread").select("doc_id", "fp", "component_id")
 
 
-def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's; of rows that repeat that doc_id, one stays.
-
-    Rows without doc_id stay only where no row of their component has one, then one of them by hash.
-    """
-    columns = docs.columns
-    found = near_duplicates(docs).where("doc_id is null or doc_id = component_id")
-    named = found.where("doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(named, "doc_id", "left_semi").select(*columns)
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not twice.isEmpty():
-        kept = kept.join(twice, "doc_id", "left_anti").select(*columns).unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns))
-    anonymous = docs.where("doc_id is null")
-    if anonymous.isEmpty():
-        return kept
-    lone = found.where("doc_id is null and component_id is null").select("fp").distinct()
-    own = anonymous.select(F.xxhash64("text").alias("doc_id"), "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
-    least = own.join(lone, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_h")).select("_h")
-    return kept.unionByName(anonymous.withColumn("_h", F.xxhash64("text")).join(least, "_h", "left_semi").dropDuplicates(["_h"]).select(*columns))
-
-
-def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """Distinct hashes (XXH64, seed 42) of each text's word shingles; a shorter text is one shingle."""
-    out, digest = [], xxhash.xxh64_intdigest
-    for text in texts:
-        words = text.lower().split()
-        own = {digest(b" ".join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))} if words else ()
-        out.append(np.sort(np.fromiter(own, np.uint64, len(own))).view(np.int64))
+def _shingle_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """Each row's distinct hashes (48 bits, ascending) of its shingles of COPY_WORDS lower-cased words; a shorter text is one shingle."""
+    data = K.LOWER[data]
+    starts, ends, first = K.word_bounds(data, off, K.SOLID)
+    words = K.word_hashes(data, starts, ends)
+    grams = {k: K.gram_hashes(words, k) + np.uint64(k) >> np.uint64(16) for k in range(1, COPY_WORDS + 1)}
+    out = []
+    for a, b in zip(first.tolist(), first[1:].tolist()):
+        n = b - a
+        out.append(np.unique(grams[COPY_WORDS][a : b - COPY_WORDS + 1]) if n >= COPY_WORDS else grams[n][a : a + 1] if n else words[:0])
     return out
 
 
-def _sets(often: tuple[np.ndarray, np.ndarray] | None):
-    """(doc_id, h, text) to (doc_id, h, sh, n, s). often: then s is the prefix alone, common shingles last."""
+def _packed(sets: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    ends = 6 * np.cumsum([0, *map(len, sets)])
+    return pa.Array.from_buffers(pa.large_binary(), len(sets), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of a column of packed sets, and where each row's begin (one more at the end)."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].reshape(-1, 6)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :6] = raw
+    return wide.view("<u8").reshape(-1), (ends - ends[0]) // 6
+
+
+def _marks(width: int, sets: bool):
+    """(k1, k2, doc_id, text) to (k1, k2, doc_id, fp, sh, n, s): fingerprint, the set's own hash and size, and the packed set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = K.column_bytes(batch.column(2))
+            data, off = K.column_bytes(batch.column(3))
             for i, j in K.pieces(off):
-                raw, at = data[off[i] : off[j]].tobytes(), (off[i : j + 1] - off[i]).tolist()
-                sets = shingle_sets([raw[a:b] for a, b in zip(at, at[1:])], COPY_WORDS)
-                sizes, names = [len(x) for x in sets], [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets]
-                if often is not None:
-                    keys, counts = often
-                    for k, x in enumerate(sets):
-                        # any one order of all shingles will do; with rare ones first, few strangers meet
-                        place = np.minimum(np.searchsorted(keys, x), max(len(keys) - 1, 0))
-                        rank = np.where(keys[place] == x, counts[place], 0) if len(keys) else np.zeros(len(x), np.int64)
-                        sets[k] = x[np.lexsort((x, rank))][: len(x) - (4 * len(x) + 4) // 5 + 1]
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-                own = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists]
-                yield pa.RecordBatch.from_arrays(own, ["doc_id", "h", "sh", "n", "s"])
+                part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                raw, cut = part.tobytes(), at.tolist()
+                prints = fingerprints([raw[a:b] for a, b in zip(cut, cut[1:])], width)
+                own = _shingle_sets(part, at) if sets else [np.zeros(0, np.uint64)] * (j - i)
+                names = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in own], np.uint64) if sets else prints
+                kept = [batch.column(k).slice(i, j - i) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(prints.view(np.int64)), pa.array(names.view(np.int64)), pa.array(list(map(len, own)), pa.int32()), _packed(own)], ["k1", "k2", "doc_id", "fp", "sh", "n", "s"])
 
     return run
 
 
-def keep_dissimilar(docs: DataFrame) -> DataFrame:
-    """One row of each group of ``docs`` that links of Jaccard 0.8 or more over sets of five-word shingles connect.
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        flat, _ = _unpacked(batch.column(0))
+        keys, counts = np.unique(flat[flat < COUNTED], return_counts=True)
+        for at in range(0, len(keys), C.ARROW_ROWS * 16):
+            few = slice(at, at + C.ARROW_ROWS * 16)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[few].astype(np.int64)), pa.array(counts[few])], ["key", "c"])
 
-    The row with the smallest doc_id stays, one without doc_id only where no row of its group has one. Exact: of two
-    such sets, ordered alike, the first n - ceil(0.8 n) + 1 shingles share one, and each pair met so is counted out.
+
+def _prefixes(often: np.ndarray, ranks: np.ndarray):
+    """(sh, s) to (key, sh, n): the first n - ceil(0.8 n) + 1 shingles of each set, in the order of ``ranks`` (0 where not in ``often``) and hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            flat, first = _unpacked(batch.column(1))
+            place = np.minimum(np.searchsorted(often, flat), max(len(often) - 1, 0))
+            rank = np.where(often[place] == flat, ranks[place], 0) if len(often) else np.zeros(len(flat), np.int64)
+            keys, names, sizes, lengths = [], [], [], []
+            if len(seen) > 1_000_000:  # copies of one set are only fewer rows, so they may be forgotten
+                seen.clear()
+            for sh, a, b in zip(batch.column(0).to_pylist(), first.tolist(), first[1:].tolist()):
+                if a == b or sh in seen:
+                    continue
+                seen.add(sh)
+                n = b - a
+                most = n - (4 * n + 4) // 5 + 1
+                own = flat[a:b]
+                if rank[a:b].any():
+                    own = own[np.lexsort((own, rank[a:b]))]
+                keys.append(own[:most])
+                names.append(sh)
+                sizes.append(n)
+                lengths.append(most)
+            key = np.concatenate([np.zeros(0, np.uint64), *keys]).astype(np.int64)
+            name, size = np.repeat(np.array(names, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths)
+            for at in range(0, len(key), C.ARROW_ROWS * 16):
+                few = slice(at, at + C.ARROW_ROWS * 16)
+                yield pa.RecordBatch.from_arrays([pa.array(key[few]), pa.array(name[few]), pa.array(size[few])], ["key", "sh", "n"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, sh, n) sorted by key and sh: those whose key another set has too, with the key's first set (sh, n). One row is held."""
+    names = ["key", "sh", "n", "first", "first_n"]
+    held = np.zeros((0, 6), np.int64)  # key, sh, n, first, first_n, whether the row before has its key
+
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, k].astype(np.int32 if k in (2, 4) else np.int64)) for k in range(5)], names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.zeros((batch.num_rows, 6), np.int64)
+        for k in range(3):
+            rows[:, k] = batch.column(k).to_numpy(zero_copy_only=False)
+        rows[:, 3:5] = rows[:, 1:3]
+        rows = np.concatenate([held, rows])
+        rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
+        again = np.concatenate([[False], rows[1:, 0] == rows[:-1, 0]])
+        begin = np.maximum.accumulate(np.where(again, 0, np.arange(len(rows))))
+        rows[:, 3:5] = rows[begin, 3:5]
+        rows[1:, 5] = again[1:]
+        good = rows[:, 5] != 0
+        good[:-1] |= again[1:]
+        yield out(rows[:-1][good[:-1]])
+        held = rows[-1:]
+    if len(held) and held[0, 5]:
+        yield out(held)
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, sa, sb): the pairs whose sets are alike by 0.8 or more."""
+    for batch in batches:
+        x, xs = _unpacked(batch.column(2))
+        y, ys = _unpacked(batch.column(3))
+        good = [9 * len(np.intersect1d(x[i:j], y[k:m], True)) >= 4 * (j - i + m - k) for i, j, k, m in zip(xs.tolist(), xs[1:].tolist(), ys.tolist(), ys[1:].tolist())]
+        yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets (sh, s) are alike. A set that many pairs name meets them in ``SPREAD`` places."""
+    pairs = pairs.withColumn("_spread", C.spread_of(F.col("b")))
+    pairs = C.lookup(pairs, ["a"], sets.toDF("a", "sa"), "_spread").drop("_spread").withColumn("_spread", C.spread_of(F.col("a")))
+    pairs = C.lookup(pairs, ["b"], sets.toDF("b", "sb"), "_spread")
+    return C.materialise(pairs.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"), "alike")
+
+
+def similar(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges (a, b) that, with the edges ``known``, connect the sets (sh, n, s) of ``rows`` as all links of 0.8 or more do.
+
+    Exact: of two such sets, ordered alike, the first n - ceil(0.8 n) + 1 shingles share one; the rest is counted out.
+    The order puts shingles last that many documents share, by counts over all documents. Each key first links its sets
+    to one of them, so that a family of copies is one component before any pairs are made; then the sets of a key are
+    compared across components alone, ``BLOCK_ROWS`` against as many.
     """
+    counts = rows.select("s").mapInArrow(_counted, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= OFTEN)
+    found = counts.orderBy(F.desc("c"), "key").limit(LAST).toArrow()
+    often, c = (found.column(k).to_numpy().astype(np.int64) for k in range(2))
+    order = np.argsort(often)
+    often, ranks = often[order].astype(np.uint64), np.array([int(x).bit_length() for x in c[order]], np.int64)
+    keys = rows.select("sh", "s").mapInArrow(_prefixes(often, ranks), "key long, sh long, n int")
+    shared = keys.repartition("key").sortWithinPartitions("key", "sh").mapInArrow(_shared, "key long, sh long, n int, first long, first_n int")
+    shared = C.materialise(shared, "shared")
+    close = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+    ids = C.materialise(shared.select("sh").distinct(), "ids")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = C.materialise(rows.select("sh", "s").join(few, "sh", "left_semi").groupBy("sh").agg(F.first("s").alias("s")), "sets")
+    pairs = shared.where(F.col("sh") != F.col("first")).where(close("n", "first_n")).select(F.greatest("sh", "first").alias("a"), F.least("sh", "first").alias("b")).distinct()
+    edges = known.unionByName(_verified(pairs, sets))
+
+    roots = components(edges)
+    placed = C.lookup(shared.withColumn("_spread", C.spread_of(F.col("key"))), ["sh"], roots.toDF("sh", "root"), "_spread")
+    placed = C.materialise(placed.select("key", "sh", "n", F.coalesce("root", "sh").alias("root")), "placed")
+    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key", "m")
+    apart = C.lookup(placed.withColumn("_spread", C.spread_of(F.col("sh"))), ["key"], mixed, "_spread").where("m is not null")
+    blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+    apart = apart.withColumn("block", F.pmod(F.xxhash64("sh"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    apart = C.materialise(apart.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sh", "n", "root"), "apart")
+    left, right = (apart.select("key", "lo", "hi", *(F.col(x).alias(x + k) for x in ("block", "sh", "n", "root"))) for k in "ab")
+    met = left.join(right, ["key", "lo", "hi"]).where("sha > shb and roota <> rootb and (lo = hi or blocka <> blockb)").where(close("na", "nb"))
+    met = C.materialise(met.select(F.col("sha").alias("a"), F.col("shb").alias("b")).distinct(), "met")
+    return edges.unionByName(_verified(met, sets))
+
+
+def _keep(docs: DataFrame, width: int, alike: bool) -> DataFrame:
     spark = docs.sparkSession
     C.tune(spark)
-    kind = "doc_id long, h long, sh long, n int, s array<long>"
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    # common shingles of a sample: they set the order, not the result
-    total = docs.count()
-    part = plain.where(F.pmod("h", F.lit(max(1, total // SAMPLE_ROWS))) == 0)
-    common = part.mapInArrow(_sets(None), kind).select(F.explode("s").alias("k")).groupBy("k").count().where(F.col("count") >= OFTEN)
-    found = sorted((x[0], x[1]) for x in common.orderBy(F.desc("count")).limit(100_000).collect())
-    often = np.array([k for k, _ in found], np.int64), np.array([c for _, c in found], np.int64)
-    rows = C.materialise(plain.mapInArrow(_sets(often), kind), "sets")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    sets = C.materialise(rows.groupBy("sh").agg(F.min(order).alias("w"), F.first("n").alias("n"), F.first("s").alias("s")), "uniq")
-    keys = sets.select("sh", "n", F.explode("s").alias("key"))
-    met = keys.toDF("a", "na", "key").join(keys.toDF("b", "nb", "key"), "key").where("a < b and 5 * least(na, nb) >= 4 * greatest(na, nb)")
-    met = C.materialise(met.select("a", "b").distinct(), "met")
-    own = met.select(F.explode(F.array("a", "b")).alias("sh")).distinct().join(sets, "sh").select(F.col("w.h").alias("h")).distinct()
-    whole = plain.join(own, "h", "left_semi").dropDuplicates(["h"]).select("doc_id", "h", "text").mapInArrow(_sets(None), kind).select("sh", "n", "s")
-    whole = C.materialise(whole, "whole")
-    both = met.join(whole.toDF("a", "na", "sa"), "a").join(whole.toDF("b", "nb", "sb"), "b")
-    edges = both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
-    roots = components(edges)
-    best = sets.join(roots, sets.sh == roots.v, "left").groupBy(F.coalesce("root", "sh").alias("g")).agg(F.min("w").alias("w"))
-    best = C.materialise(best.select(F.coalesce("w.doc_id", F.lit(0)).alias("_d"), F.col("w.none").alias("_dn"), F.col("w.h").alias("_h")), "best")
-    on = ["_d", "_dn", "_h"]
-    kept = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_dn": F.col("doc_id").isNull(), "_h": F.xxhash64(text)}).join(best, on, "left_semi")
-    if not rows.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(on)
-    return kept.select(*docs.columns)
+    k1, k2 = C.row_keys(docs)
+    plain = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = C.materialise(plain.mapInArrow(_marks(width, alike), "k1 long, k2 long, doc_id long, fp long, sh long, n int, s binary"), "marks")
+    # one set stands for all of a fingerprint; linked fingerprints link those
+    prints = C.materialise(rows.groupBy("fp").agg(F.min("sh").alias("m")), "prints")
+    spread = rows.select("fp", "sh").distinct().withColumn("_spread", C.spread_of(F.col("sh")))
+    same = C.lookup(spread, ["fp"], prints, "_spread").select(F.col("sh").alias("a"), F.col("m").alias("b"))
+    near = links(prints.select("fp")).join(prints.toDF("a", "ma"), "a").join(prints.toDF("b", "mb"), "b").select(F.col("ma").alias("a"), F.col("mb").alias("b"))
+    edges = C.materialise(same.unionByName(near).where("a <> b").distinct(), "known")
+    if alike:
+        edges = similar(rows, edges)
+    roots = components(edges).toDF("sh", "root")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    first = C.materialise(rows.groupBy("sh").agg(F.min(order).alias("w"), F.count(F.lit(1)).alias("c")), "first")
+    best = first.join(roots, "sh", "left").groupBy(F.coalesce("root", "sh").alias("g")).agg(F.min("w").alias("w"))
+    a, b = C.fresh(docs, "k1", "k2")
+    best = C.materialise(best.select(F.col("w.k1").alias(a), F.col("w.k2").alias(b)), "best")
+    kept = docs.withColumns({a: k1, b: k2}).join(best, [a, b], "left_semi")
+    if not rows.groupBy("k1", "k2").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([a, b])  # rows alike in every column: any of them will do
+    return kept.select(*C.named(docs))
+
+
+def keep_representatives(docs: DataFrame, width: int = WORDS) -> DataFrame:
+    """One row of each component of linked fingerprints of ``docs`` (doc_id, text, any further columns).
+
+    The row with the smallest doc_id stays, one without doc_id only where no row of the component has one. Ties are
+    cut by a hash of all columns, so reruns agree; of rows alike in every column one stays. An empty table gives an
+    empty one. Null and blank texts are one component.
+    """
+    return _keep(docs, width, False)
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each group that is connected by fingerprints (of five-word shingles) within two bits, or by sets of five-word shingles alike by 0.8 or more.
+
+    Which row stays, nulls, ties and empty tables: as in :func:`keep_representatives`. Two different sets of one
+    64-bit hash would count as one: of 20 billion texts some ten pairs.
+    """
+    return _keep(docs, COPY_WORDS, True)
