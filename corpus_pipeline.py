@@ -21,8 +21,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: fingerprints within two bits, then five-word shingles alike by 0.8 or more."""
-    return simhash.keep_dissimilar(common.materialise(simhash.keep_representatives(docs), "representatives"))
+    """One document of each group of near duplicates: fingerprints within two bits, or five-word shingles alike by 0.8 or more."""
+    return simhash.keep_one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
