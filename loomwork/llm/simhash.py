@@ -37,7 +37,7 @@ COUNTED, LAST, OFTEN = 1 << 46, 200_000, 8
 #: Rows of one key that are compared with one another in one group.
 BLOCK_ROWS = 1000
 #: Ids that may be sent to every executor; beyond, tables are joined.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 2_000_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -333,8 +333,15 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return wide.view("<u8").reshape(-1), (ends - ends[0]) // 6
 
 
+def _parity(own: np.ndarray) -> bytes:
+    """Whether an odd number of the set's hashes falls on each of 2**k bits, at least as many bits as hashes (64 at least)."""
+    bits = 1 << max(6, (len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 def _marks(width: int, sets: bool):
-    """(k1, k2, doc_id, text) to (k1, k2, doc_id, fp, sh, n, s): fingerprint, the set's own hash and size, and the packed set."""
+    """(k1, k2, doc_id, text) to (k1, k2, doc_id, fp, sh, n, p, s): fingerprint, the set's own hash and size, its parities, and the packed set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,7 +353,7 @@ def _marks(width: int, sets: bool):
                 own = _shingle_sets(part, at) if sets else [np.zeros(0, np.uint64)] * (j - i)
                 names = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in own], np.uint64) if sets else prints
                 kept = [batch.column(k).slice(i, j - i) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(prints.view(np.int64)), pa.array(names.view(np.int64)), pa.array(list(map(len, own)), pa.int32()), _packed(own)], ["k1", "k2", "doc_id", "fp", "sh", "n", "s"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(prints.view(np.int64)), pa.array(names.view(np.int64)), pa.array(list(map(len, own)), pa.int32()), pa.array(list(map(_parity, own)), pa.binary()), _packed(own)], ["k1", "k2", "doc_id", "fp", "sh", "n", "p", "s"])
 
     return run
 
@@ -432,16 +439,42 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets (sh, s) are alike. A set that many pairs name meets them in ``SPREAD`` places."""
-    pairs = pairs.withColumn("_spread", C.spread_of(F.col("b")))
-    pairs = C.lookup(pairs, ["a"], sets.toDF("a", "sa"), "_spread").drop("_spread").withColumn("_spread", C.spread_of(F.col("a")))
-    pairs = C.lookup(pairs, ["b"], sets.toDF("b", "sb"), "_spread")
-    return C.materialise(pairs.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"), "alike")
+def _perhaps_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb, pa, pb): the pairs that may be alike. Sets whose parities differ in d bits differ in d hashes at least; alike ones in a ninth of both sizes at most."""
+    for batch in batches:
+        good = []
+        for na, nb, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
+            x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+            while len(y) > len(x):  # bit i of the shorter is bits i, i + size, ... of the longer
+                y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+            good.append(9 * int(np.bitwise_count(x ^ y).sum()) <= na + nb)
+        yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+
+def _both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (a, b) with columns of ``table`` (sh, ...) for either side. A set that many pairs name meets them in ``SPREAD`` places."""
+    for side, other in (("a", "b"), ("b", "a")):
+        own = table.select(F.col("sh").alias(side), *(F.col(c).alias(c + side) for c in columns))
+        pairs = C.lookup(pairs.withColumn("_spread", C.spread_of(F.col(other))), [side], own, "_spread").drop("_spread")
+    return pairs.select("a", "b", *(c + side for c in columns for side in "ab"))
+
+
+def _of(rows: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` (sh, ...) of these ids (sh), one for each."""
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return rows.select("sh", *columns).join(few, "sh", "left_semi").groupBy("sh").agg(*(F.first(c).alias(c) for c in columns))
+
+
+def _verified(pairs: DataFrame, parities: DataFrame, rows: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets are alike: parities (sh, n, p) turn most strangers away before sets are fetched."""
+    may = C.materialise(_both(pairs, parities, "n", "p").mapInArrow(_perhaps_alike, "a long, b long"), "may")
+    ids = C.materialise(may.select(F.explode(F.array("a", "b")).alias("sh")).distinct(), "ids")
+    sets = C.materialise(_of(rows, ids, "s"), "sets")
+    return C.materialise(_both(may, sets, "s").mapInArrow(_alike, "a long, b long"), "alike")
 
 
 def similar(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Edges (a, b) that, with the edges ``known``, connect the sets (sh, n, s) of ``rows`` as all links of 0.8 or more do.
+    """Edges (a, b) that, with the edges ``known``, connect the sets (sh, n, p, s) of ``rows`` as all links of 0.8 or more do.
 
     Exact: of two such sets, ordered alike, the first n - ceil(0.8 n) + 1 shingles share one; the rest is counted out.
     The order puts shingles last that many documents share, by counts over all documents. Each key first links its sets
@@ -458,10 +491,9 @@ def similar(rows: DataFrame, known: DataFrame) -> DataFrame:
     shared = C.materialise(shared, "shared")
     close = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)
     ids = C.materialise(shared.select("sh").distinct(), "ids")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = C.materialise(rows.select("sh", "s").join(few, "sh", "left_semi").groupBy("sh").agg(F.first("s").alias("s")), "sets")
+    parities = C.materialise(_of(rows, ids, "n", "p"), "parities")
     pairs = shared.where(F.col("sh") != F.col("first")).where(close("n", "first_n")).select(F.greatest("sh", "first").alias("a"), F.least("sh", "first").alias("b")).distinct()
-    edges = known.unionByName(_verified(pairs, sets))
+    edges = known.unionByName(_verified(pairs, parities, rows))
 
     roots = components(edges)
     placed = C.lookup(shared.withColumn("_spread", C.spread_of(F.col("key"))), ["sh"], roots.toDF("sh", "root"), "_spread")
@@ -474,7 +506,7 @@ def similar(rows: DataFrame, known: DataFrame) -> DataFrame:
     left, right = (apart.select("key", "lo", "hi", *(F.col(x).alias(x + k) for x in ("block", "sh", "n", "root"))) for k in "ab")
     met = left.join(right, ["key", "lo", "hi"]).where("sha > shb and roota <> rootb and (lo = hi or blocka <> blockb)").where(close("na", "nb"))
     met = C.materialise(met.select(F.col("sha").alias("a"), F.col("shb").alias("b")).distinct(), "met")
-    return edges.unionByName(_verified(met, sets))
+    return edges.unionByName(_verified(met, parities, rows))
 
 
 def _keep(docs: DataFrame, width: int, alike: bool) -> DataFrame:
@@ -482,7 +514,7 @@ def _keep(docs: DataFrame, width: int, alike: bool) -> DataFrame:
     C.tune(spark)
     k1, k2 = C.row_keys(docs)
     plain = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = C.materialise(plain.mapInArrow(_marks(width, alike), "k1 long, k2 long, doc_id long, fp long, sh long, n int, s binary"), "marks")
+    rows = C.materialise(plain.mapInArrow(_marks(width, alike), "k1 long, k2 long, doc_id long, fp long, sh long, n int, p binary, s binary"), "marks")
     # one set stands for all of a fingerprint; linked fingerprints link those
     prints = C.materialise(rows.groupBy("fp").agg(F.min("sh").alias("m")), "prints")
     spread = rows.select("fp", "sh").distinct().withColumn("_spread", C.spread_of(F.col("sh")))
