@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 #: Logical buckets over which rows of one hot key are spread before a lookup.
 SPREAD = 64
 #: Rows and bytes of one Arrow batch: keeps a Python worker's memory flat for long texts.
-ARROW_ROWS, ARROW_BYTES = 4000, 12 << 20
+ARROW_ROWS, ARROW_BYTES = 4000, 6 << 20
 
 
 def tune(spark: SparkSession) -> None:
@@ -24,9 +24,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset and all runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="loomwork-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -73,6 +75,12 @@ def named(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def batches_of(df: DataFrame, run) -> DataFrame:
+    """mapInArrow over whole rows with the schema as it is; by place, as names may hold dots."""
+    own = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return own.mapInArrow(run, own.schema).toDF(*df.columns)
+
+
 def row_keys(df: DataFrame) -> tuple[Column, Column]:
     """Two 64-bit hashes of a whole row: rows that differ in any column differ in them, but for one chance in 2**128."""
     own = []

@@ -245,11 +245,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most: int = BROADCAST_W
     return _by_join(rows, items, items.mapInArrow(_windows, "item_id string, length int, words string"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark window."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, most: int = BROADCAST_WINDOWS) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark window, with all their columns, whatever their names.
+
+    Rows with null or empty texts stay, repeated rows stay or go together, an empty benchmark lets all stay, and an
+    empty table gives an empty one.
+    """
     C.tune(docs.sparkSession)
     items = _items(benchmark)
-    if bench := _small(items, BROADCAST_WINDOWS):
+    if bench := _small(items, most):
         place, scan = docs.columns.index("text"), _scan(bench)
 
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +263,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 hit = pa.concat_arrays([x.column(5) for x in seen]) if len(text) else pa.array([], pa.bool_())
                 yield batch.filter(pc.invert(hit))
 
-        return docs.mapInArrow(clean, docs.schema)
-    carried = C.materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "carried")
-    marked = _by_join(carried.select(F.col("_row").alias("doc_id"), "text"), items, items.mapInArrow(_windows, "item_id string, length int, words string"))
-    return carried.join(marked.where(~F.col("contaminated")).select(F.col("doc_id").alias("_row")), "_row", "left_semi").drop("_row")
+        return C.batches_of(docs, clean)
+    (row,) = C.fresh(docs, "_row")
+    carried = C.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "carried")
+    marked = _by_join(carried.select(F.col(row).alias("doc_id"), F.col("text").cast("string").alias("text")), items, items.mapInArrow(_windows, "item_id string, length int, words string"))
+    clean = marked.where(~F.col("contaminated")).select(F.col("doc_id").alias(row))
+    return carried.join(clean, row, "left_semi").select(*C.named(docs))

@@ -229,19 +229,21 @@ def _report(docs: DataFrame, held: DataFrame, decided: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``; every other column and row as it was.
 
-    Null texts stay null; a text whose lines all go is empty.
+    Null texts stay null; a text whose lines all go is empty. Repeated rows of one doc_id count as one document. An
+    empty table gives an empty one.
     """
+    d, dn, row, gone_ = C.fresh(docs, "_d", "_dn", "_row", "_gone")
     held = occurrences(docs)
     decided = decisions(docs, held, errors, shortest)
     key = F.coalesce(F.col("text").cast("string"), F.lit(""))
     held = held.withColumn("_spread", C.spread_of(F.col("doc_id"), F.lit(2)))
     met = C.lookup(held, ["h"], decided, "_spread")
     gone = met.where(~F.col("first").eqNullSafe(F.col("doc_id")) | F.col("late"))
-    gone = gone.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_dn"), F.col("row").alias("_row")).agg(F.collect_set("h").alias("_gone"))
-    rows = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_dn": F.col("doc_id").isNull(), "_row": F.xxhash64(key)})
+    gone = gone.groupBy(F.coalesce("doc_id", F.lit(0)).alias(d), F.col("doc_id").isNull().alias(dn), F.col("row").alias(row)).agg(F.collect_set("h").alias(gone_))
+    rows = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), dn: F.col("doc_id").isNull(), row: F.xxhash64(key)})
     kept = F.filter(
         F.split("text", "\n"),
-        lambda x, i: (F.array_position(F.split("text", "\n"), x) == i + 1) & ~F.coalesce(F.array_contains("_gone", F.xxhash64(x)) & (x != ""), F.lit(False)),
+        lambda x, i: (F.array_position(F.split("text", "\n"), x) == i + 1) & ~F.coalesce(F.array_contains(gone_, F.xxhash64(x)) & (x != ""), F.lit(False)),
     )
-    out = rows.join(gone, ["_d", "_dn", "_row"], "left").withColumn("text", F.array_join(kept, "\n"))
-    return out.select(*docs.columns)
+    out = rows.join(gone, [d, dn, row], "left").withColumn("text", F.array_join(kept, "\n"))
+    return out.select(*C.named(docs))

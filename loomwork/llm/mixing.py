@@ -29,7 +29,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     """Add weight and target to ``sizes`` (source, source_size): ``share`` of all sizes by weight, no target above ``epochs`` times its source's size.
 
     Sources by code point take the weights in turn, null last. Capped sources leave the sharing until none is above;
-    each round is one small aggregate over the sources, and only its two sums reach the driver.
+    each round is one small aggregate over the sources, and only its two sums reach the driver. Null is a source like
+    any other; a source without words has target zero; an empty table gives an empty one.
     """
     placed = sizes.withColumn("_null", F.col("source").isNull().cast("int"))
     placed = C.global_order(placed, ["_null", "source"])
@@ -88,11 +89,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as :func:`mix` takes it, with all its columns.
+    """The mix itself: each row of ``docs`` as often as :func:`mix` takes it, with all its columns, whatever their names.
 
-    Row numbers are written once, so the narrow rows of the mix find their documents again.
+    Row numbers are written once, so the narrow rows of the mix find their documents again. Repeated rows, nulls and
+    an empty table: as in :func:`mix`.
     """
-    numbered = C.materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    taken = mix(numbered.select("doc_id", "text", "source", "_row"), keep=("_row",), **options).where("copies > 0")
-    found = numbered.join(taken.select("_row", "copies"), "_row")
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    row, times, copy = C.fresh(docs, "_row", "_times", "_copy")
+    numbered = C.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered.select("doc_id", "text", "source", row), keep=(row,), **options).where("copies > 0")
+    found = numbered.join(taken.select(row, F.col("copies").alias(times)), row)
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*C.named(docs))

@@ -36,8 +36,8 @@ COPY_WORDS = 5
 COUNTED, LAST, OFTEN = 1 << 46, 200_000, 8
 #: Rows of one key that are compared with one another in one group.
 BLOCK_ROWS = 1000
-#: Ids that may be sent to every executor; beyond, tables are joined.
-BROADCAST_IDS = 2_000_000
+#: Ids, and keys of dropped rows, that may be sent to every executor; beyond, tables are joined.
+BROADCAST_IDS, BROADCAST_ROWS = 2_000_000, 500_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -529,7 +529,10 @@ def _keep(docs: DataFrame, width: int, alike: bool) -> DataFrame:
     best = first.join(roots, "sh", "left").groupBy(F.coalesce("root", "sh").alias("g")).agg(F.min("w").alias("w"))
     a, b = C.fresh(docs, "k1", "k2")
     best = C.materialise(best.select(F.col("w.k1").alias(a), F.col("w.k2").alias(b)), "best")
-    kept = docs.withColumns({a: k1, b: k2}).join(best, [a, b], "left_semi")
+    keyed, dropped = docs.withColumns({a: k1, b: k2}), rows.select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct().join(best, [a, b], "left_anti")
+    dropped = C.materialise(dropped, "dropped")
+    # few dropped rows are known everywhere, and no text moves
+    kept = keyed.join(F.broadcast(dropped), [a, b], "left_anti") if dropped.count() <= BROADCAST_ROWS else keyed.join(best, [a, b], "left_semi")
     if not rows.groupBy("k1", "k2").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([a, b])  # rows alike in every column: any of them will do
     return kept.select(*C.named(docs))
