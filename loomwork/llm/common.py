@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,6 +51,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """Where a worker finds a path of the shared folder."""
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

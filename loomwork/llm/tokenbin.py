@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -354,10 +353,6 @@ def decode_file(raw: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
     return doc_ids, lengths, WaveletMatrix(planes, head["ids"])
 
 
-def _filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
-
-
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, limit: int = SHARD_IDS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into files under ``folder``, ascending by doc_id (null first, ties in the input's order).
 
@@ -366,7 +361,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, limit: int = SHAR
     """
     spark = docs.sparkSession
     C.tune(spark)
-    _filesystem(folder)[0].create_dir(_filesystem(folder)[1], recursive=True)
+    C.filesystem(folder)[0].create_dir(C.filesystem(folder)[1], recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -375,7 +370,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, limit: int = SHAR
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        fs, base = _filesystem(folder)
+        fs, base = C.filesystem(folder)
         encode = encoder(tokenizer)
         doc_ids: list[int | None] = []
         pieces: list[np.ndarray] = []
@@ -424,7 +419,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                fs, base = _filesystem(path)
+                fs, base = C.filesystem(path)
                 with fs.open_input_stream(base) as f:
                     doc_ids, lengths, matrix = decode_file(f.read())
                 ids = matrix.ids().astype("<u4")
