@@ -201,11 +201,15 @@ def _by_join(rows: DataFrame, bench: DataFrame, windows: DataFrame) -> DataFrame
     known = windows.select(F.monotonically_increasing_id().alias("key"), "words").mapInArrow(_prints(lengths, False), "key long, length int, print long")
     known = known.select("length", "print").distinct()
     own = rows.select("key", "text").mapInArrow(_prints(lengths, True), "key long, length int, print long, at long, near string")
-    near = own.join(known, ["length", "print"], "left_semi").withColumn("w", F.split("near", " "))
+    spread = lambda: C.spread_of(F.col("key"), F.col("at"))
+    known = known.withColumn("_known", F.lit(True))
+    near = C.lookup(own.withColumn("_spread", spread()), ["length", "print"], known, "_spread").where("_known").drop("_spread", "_known").withColumn("w", F.split("near", " "))
     starts = F.sequence(F.lit(0), F.size("w") - F.col("length"))
     cut = near.where(F.size("w") >= F.col("length")).select("key", "length", "at", "w", F.explode(starts).alias("s"))
     cut = cut.select("key", "length", (F.col("at") + F.col("s")).alias("at"), F.array_join(F.slice("w", F.col("s") + 1, F.col("length")), " ").alias("words")).distinct()
-    hits = C.materialise(cut.join(windows, ["length", "words"]).select("key", "at", "length", "item_id"), "hits")
+    items_of = windows.groupBy("length", "words").agg(F.collect_set("item_id").alias("_of"))
+    met = C.lookup(cut.withColumn("_spread", spread()), ["length", "words"], items_of, "_spread").where("_of is not null")
+    hits = C.materialise(met.select("key", "at", "length", F.explode("_of").alias("item_id")), "hits")
     at = hits.select("key", "at", "length").distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "length"))).alias("spans"))
     begin = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     add = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["at"] + x["length"] - F.greatest(x["at"], s["end"]))).cast("long").alias("n"), F.greatest(s["end"], x["at"] + x["length"]).cast("long").alias("end"))

@@ -18,6 +18,10 @@ from . import common as C
 
 ERRORS, SHORTEST = 2, 24
 _BLOCK = 16
+#: Characters of the ends that are compared before the banded pass.
+_ENDS = (32, 160)
+#: Lines of one key that are compared with one another in one group.
+BLOCK_LINES = 1000
 #: Hashes that may be sent to every executor (some 24 bytes each); beyond, tables are joined.
 BROADCAST_HASHES = 1_000_000
 
@@ -122,15 +126,18 @@ def banded_distance(a: Column, b: Column, errors: int) -> Column:
             return F.aggregate(F.sequence(F.lit(0), c["n"] - 1), start, step)["d"]
 
         # a rest shorter than the band: all of the longer rest may be edits
-        whole = F.when((n == 0) | (m <= errors), F.levenshtein(x["p"], x["t"])).otherwise(let(chars, run))
-        # equally long ends of two strings at most e apart are at most 2 e apart themselves: most strangers leave here
-        near = lambda cut: F.levenshtein(cut(x["p"]), cut(x["t"]), 2 * errors) >= 0
-        return F.when(near(lambda s: F.substr(s, F.lit(1), F.lit(2 * _BLOCK))) & near(lambda s: F.right(s, F.lit(2 * _BLOCK))), whole).otherwise(errors + 1)
+        return F.when((n == 0) | (m <= errors), F.levenshtein(x["p"], x["t"])).otherwise(let(chars, run))
 
     longer = F.length(a) >= F.length(b)
     pair = F.struct(F.when(longer, a).otherwise(b).alias("p"), F.when(longer, b).otherwise(a).alias("t"))
     back = lambda x: F.struct(F.reverse(x["p"]).alias("p"), F.reverse(x["t"]).alias("t"))
-    return let(let(let(let(pair, ends), back), ends), distance)
+    # equally long ends of two strings at most e apart are at most 2 e apart themselves: most strangers leave here, in compiled code
+    near = None
+    for n in _ENDS:
+        for cut in (lambda x: F.substring(x, 1, n), lambda x: F.right(x, F.lit(n))):
+            own = F.levenshtein(cut(a), cut(b), 2 * errors) >= 0
+            near = own if near is None else near & own
+    return F.when(near, let(let(let(let(pair, ends), back), ends), distance)).otherwise(errors + 1)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -167,19 +174,43 @@ def distinct_lines(docs: DataFrame, marks: DataFrame, shortest: int, most: int)
     return lines.distinct()
 
 
+def _in_blocks(index: DataFrame, probe: DataFrame, most: int, block: int = BLOCK_LINES) -> tuple[list[str], DataFrame, DataFrame]:
+    """The columns to join by, and both tables. Of a key that more than ``block`` lines have, ``block`` lines on one side meet as many on the other in one group."""
+    m = index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block)
+    hot = C.materialise(m.select("key", F.ceil(F.col("m") / block).cast("int").alias("m")), "hot")
+    if hot.isEmpty():
+        return ["key"], index, probe
+    few = F.broadcast(hot) if _few(hot, most) else hot
+
+    def cut(side: DataFrame, own: str, mine: str, other: str) -> DataFrame:
+        blocks = F.coalesce("m", F.lit(1))
+        placed = side.join(few, "key", "left").withColumn(mine, F.pmod(F.xxhash64(own), blocks).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), blocks - 1))).drop("m")
+
+    return ["key", "i", "j"], cut(index, "b", "i", "j"), cut(probe, "a", "j", "i")
+
+
+def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (a, b) with a column of ``table`` (h, ...) for either side; a line of very many pairs meets them in many places."""
+    for side, other in (("a", "b"), ("b", "a")):
+        pairs = C.lookup(pairs.withColumn("_spread", C.spread_of(F.col(other))), [side], table.select(F.col("h").alias(side), F.col(column).alias(column + side)), "_spread").drop("_spread")
+    return pairs
+
+
 def linked_lines(docs: DataFrame, marks: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST, most: int = BROADCAST_HASHES) -> DataFrame:
     """(a, b): hashes of linked distinct lines, both ways."""
     # a column of its own: counting characters reads the line
     lines = distinct_lines(docs, marks, shortest, most).withColumn("size", F.length("line"))
-    index, probe = index_keys(lines, errors, shortest).toDF("b", "key"), probe_keys(lines, errors, shortest).toDF("a", "key")
-    pairs = probe.join(index, "key").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    index, probe = C.materialise(index_keys(lines, errors, shortest).toDF("b", "key"), "index"), probe_keys(lines, errors, shortest).toDF("a", "key")
+    keys, index, probe = _in_blocks(index, probe, most)
+    pairs = probe.join(index, keys).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = C.materialise(pairs, "pairs")
     met = C.materialise(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "met")
     texts = hashed_lines(docs, shortest).select("h", "line")
     texts = C.materialise(texts.join(F.broadcast(met) if _few(met, most) else met, "h", "left_semi").distinct(), "texts")
-    both = pairs.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
-    close = F.abs(F.length("la") - F.length("lb")) <= errors
-    good = both.where(close).where(banded_distance(F.col("la"), F.col("lb"), errors) <= errors).select("a", "b").distinct()
+    both = _both(pairs, texts, "line")
+    close = F.abs(F.length("linea") - F.length("lineb")) <= errors
+    good = both.where(close).where(banded_distance(F.col("linea"), F.col("lineb"), errors) <= errors).select("a", "b").distinct()
     good = C.materialise(good, "links")
     return good.union(good.select("b", "a"))
 
@@ -201,8 +232,8 @@ def decisions(docs: DataFrame, held: DataFrame, errors: int, shortest: int, most
     links = linked_lines(docs, marks, errors, shortest, most)
     order = lambda x, y: F.struct(F.col(x), F.col(y))
     firsts = marks.select("h", "first")
-    near = links.join(firsts.toDF("a", "fa"), "a").join(firsts.toDF("b", "fb"), "b")
-    near = near.groupBy("a").agg(F.count(F.lit(1)).alias("links"), F.max(order("fb", "b") < order("fa", "a")).alias("late"))
+    near = _both(links, firsts, "first")
+    near = near.groupBy("a").agg(F.count(F.lit(1)).alias("links"), F.max(order("firstb", "b") < order("firsta", "a")).alias("late"))
     near = near.withColumnRenamed("a", "h")
     return firsts.join(near, "h", "left").select("h", "first", F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("links", F.lit(0)).alias("links"))
 
