@@ -249,6 +249,8 @@ _NAV_ROWS = f"(SELECT url, unnest(generate_series(1, len(hs))) AS i, hs, ts FROM
 _TEXT = _UNESCAPE.format("ts[i]")
 _TITLE = "trim(regexp_replace(" + _UNESCAPE.format("regexp_extract(html, '<title>([^<]*)</title>', 1)") + r", '\s+', ' ', 'g'))"
 _ROOT = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
+# an entity that a cut title leaves open at its end is one all the same
+_ARTICLE = r"regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '&(amp|lt|gt|quot|copy|middot)<', '&\1;<', 'g')"
 _DIGEST = "substr(sha256('[[\"text\", ' || CASE WHEN text IS NULL THEN 'null' ELSE CAST(to_json(text) AS VARCHAR) END || ']]'), 1, 24)"
 
 ORACLES: dict[str, str] = {
@@ -293,4 +295,7 @@ SELECT e.user_id AS url, c.tier, count(*) AS n FROM events e LEFT JOIN c ON c.ur
     "str_events_tumbling": "SELECT date_trunc('hour', ts) AS start, event_type AS topic, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "doc_outline": r"SELECT url AS _url, trim(regexp_replace(" + _UNESCAPE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)") + r", '\s+', ' ', 'g')) AS text FROM pages WHERE contains(html, '<h1>')",
     "doc_metadata": f"SELECT page_id, {_TITLE} AS value FROM pages",
+    "doc_readable": "SELECT page_id, trim(regexp_replace(" + _UNESCAPE.format("regexp_replace(" + _ARTICLE + ", '<[^>]*>', ' ', 'g')") + r", '\s+', ' ', 'g')) AS value FROM pages",
+    "pol_sticky_tier": """SELECT CAST(user_id % 50 AS VARCHAR) AS host, event_id AS seq, CAST(event_id AS VARCHAR) AS url,
+max(CASE WHEN value > 80 THEN 2 WHEN value > 40 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS tier FROM events""",
 }
