@@ -16,6 +16,8 @@ from . import common as C
 
 WEIGHTS = (5, 2, 1)
 SHARE, EPOCHS = 1.5, 2
+#: Numbers of taken rows that may be sent to every executor (some 32 bytes each), so that no text moves; beyond, tables are joined.
+BROADCAST_ROWS = 500_000
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -97,5 +99,6 @@ def take(docs: DataFrame, **options) -> DataFrame:
     row, times, copy = C.fresh(docs, "_row", "_times", "_copy")
     numbered = C.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     taken = mix(numbered.select("doc_id", "text", "source", row), keep=(row,), **options).where("copies > 0")
-    found = numbered.join(taken.select(row, F.col("copies").alias(times)), row)
+    taken = C.materialise(taken.select(row, F.col("copies").alias(times)), "taken")
+    found = numbered.join(F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken, row)
     return found.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*C.named(docs))

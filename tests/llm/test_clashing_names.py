@@ -25,6 +25,8 @@ def test_rows_come_back_whole(spark, table, monkeypatch):
     clean = [decontaminate.keep_clean(table, bench, most) for most in (1000, 0)]
     lines = linededup.dedup_lines(table)
     monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, mixing.take(table).collect())) == sorted(map(str, taken.collect()))
     kept = simhash.keep_one_of_each(table)
     for found in (taken, *clean, lines, kept):
         assert found.columns == table.columns
