@@ -1,9 +1,10 @@
 """Near-duplicate lines by a segment-partition edit join, in DataFrame functions alone.
 
-Two lines are linked when at most ``errors`` edits part them. A line cut into errors + 1 segments keeps one of them
-whole under so many edits, so each distinct line is indexed under its segments and probes the index of every length it
-could be linked to, at the few places where a kept segment can stand. Candidates are verified by a banded bit-parallel
-edit distance. Lines shorter than ``shortest`` characters are compared exactly only: so short, edits make other lines.
+Two lines are linked when at most ``errors`` edits part them. A line is cut into errors + 1 segments, of which so many
+edits leave one whole; segments are cut at places that lines of about one length share, counted from the nearer end, so
+that each line has a few keys and lines to be linked have one of them in common. Of lines that share a key, those are
+verified whose counts of frequent characters are near enough, by a banded bit-parallel edit distance. Lines shorter
+than ``shortest`` characters are compared exactly only: so short, edits make other lines.
 
 A line is dropped where the same or a linked line comes earlier: lines are ordered by their first document, then by
 hash. Within a document the first of equal lines stays. Empty lines part paragraphs: one stays in each document.
@@ -22,44 +23,51 @@ _BLOCK = 16
 _ENDS = (32, 160)
 #: Lines of one key that are compared with one another in one group.
 BLOCK_LINES = 1000
+#: Characters that are counted in a line before it is compared with others; any would do, frequent ones turn most away.
+COUNTED = " eaotin."
 #: Hashes that may be sent to every executor (some 24 bytes each); beyond, tables are joined.
 BROADCAST_HASHES = 1_000_000
 
 
-def segment(length: Column, k: Column, errors: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment ``k`` of a line: sizes differ by one at most, longer ones last."""
-    parts = errors + 1
-    size = F.floor(length / parts).cast("int")
-    shorter = parts - (length - size * parts)
-    return size * k + F.greatest(F.lit(0), k - shorter) + 1, size + (k >= shorter).cast("int")
+def _cut(length: Column, errors: int) -> Column:
+    """The least length of the lines that are cut as one of ``length`` characters is; steps between such lengths are an eighth of it or so, and more than ``errors``."""
+    least = max(8, 1 << (2 * errors).bit_length())
+    step = F.greatest(F.lit(least), F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.length(F.bin(length)) - 4)))
+    return (length - length % step).cast("int")
 
 
-def _places(places: list[tuple[int, int, int]]) -> Column:
-    return F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(k).alias("k"), F.lit(s).alias("shift")) for d, k, s in places)))
+def _places(errors: int) -> tuple[int, list[tuple[int, bool, int, int]]]:
+    """Characters of a line that are kept for shifts, and (k, right, segments, shift) of each key: it starts so many segments and characters from the left or the right end.
 
-
-def _keys(lines: DataFrame, places: list[tuple[int, int, int]], errors: int, shortest: int) -> DataFrame:
-    """(h, key) of ``lines`` (h, line, size): one row a place, so that the code for a key is small enough to be compiled."""
-    own = lines.withColumn("_p", _places(places)).select("h", "line", "size", "_p.*")
-    other = F.col("size") - F.col("d")
-    at, size = segment(other, F.col("k"), errors)
-    own = own.select("h", "line", "size", "k", other.alias("other"), (at + F.col("shift")).alias("at"), size.alias("part"))
-    own = own.where((F.col("other") >= shortest) & (F.col("at") >= 1) & (F.col("at") + F.col("part") - 1 <= F.col("size")))
-    return own.select("h", F.xxhash64("k", "other", F.substring("line", F.col("at"), F.col("part"))).alias("key"))
-
-
-def index_keys(lines: DataFrame, errors: int, shortest: int) -> DataFrame:
-    return _keys(lines, [(0, k, 0) for k in range(errors + 1)], errors, shortest)
+    Of the segments that edits leave whole there is one, k, with k edits to its left at most and errors - k to its
+    right. So it is moved by no more than that as seen from the nearer end, by ``t`` at most; if it is ``t`` characters
+    longer than a key, two lines' keys at shifts 0 to ``t`` meet whichever way and however far it was moved.
+    """
+    slack = [min(k, errors - k) for k in range(errors + 1)]
+    places = []
+    for k, t in enumerate(slack):
+        right = k > errors - k
+        for i in range(t + 1):
+            places.append((k, right, errors + 1 - k, sum(slack[k:]) - i) if right else (k, right, k, sum(slack[:k]) + i))
+    return sum(slack), places
 
 
-def probe_keys(lines: DataFrame, errors: int, shortest: int) -> DataFrame:
-    """Keys of the substrings that segments of lines as long, or up to ``errors`` shorter, may match.
+def line_keys(lines: DataFrame, errors: int) -> DataFrame:
+    """(h, key) of ``lines`` (h, line, size): lines that ``errors`` edits part at most have a key in common.
 
-    For a line shorter by d, segment k is shifted by k at most as seen from the left end, and by errors - k at most
-    as seen from the right end, where the shift is less by d; both hold at once.
+    A line that is up to ``errors`` characters short of the next way to cut is cut both ways. One row a place, so that
+    the code for a key is small enough to be compiled.
     """
-    places = [(d, k, s) for d in range(errors + 1) for k in range(errors + 1) for s in range(max(-k, d - (errors - k)), min(k, d + errors - k) + 1)]
-    return _keys(lines, places, errors, shortest)
+    slack, places = _places(errors)
+    rows = [F.struct(F.lit(k).alias("k"), F.lit(r).alias("right"), F.lit(n).alias("n"), F.lit(s).alias("shift"), F.lit(up).alias("up")) for up in (False, True) for k, r, n, s in places]
+    own = lines.withColumns({"own": _cut(F.col("size"), errors), "next": _cut(F.col("size") + errors, errors)})
+    own = own.select("h", "line", "size", "own", "next", F.explode(F.array(*rows)).alias("_p")).select("h", "line", "size", "own", "next", "_p.*")
+    own = own.where(~F.col("up") | (F.col("own") != F.col("next"))).withColumn("cut", F.when(F.col("up"), F.col("next")).otherwise(F.col("own")))
+    part = F.greatest(F.lit(0), F.floor((F.col("cut") - errors - slack) / (errors + 1))).cast("int")
+    own = own.select("h", "line", "size", "k", "right", "n", "shift", "cut", part.alias("part"))
+    off = F.col("n") * F.col("part") + F.col("shift")
+    own = own.select("h", "line", "k", "cut", "part", F.when(F.col("right"), F.col("size") - off).otherwise(off).alias("at"))
+    return own.select("h", F.xxhash64("k", "cut", F.substring("line", F.col("at") + 1, F.col("part"))).alias("key"))
 
 
 def banded_distance(a: Column, b: Column, errors: int) -> Column:
@@ -153,9 +161,11 @@ def hashed_lines(docs: DataFrame, shortest: int) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, h, n): how often each document holds each line that isn't empty; written once, without texts."""
-    held = hashed_lines(docs, 1).select("doc_id", "row", "h")
-    return C.materialise(held.groupBy("doc_id", "row", "h").agg(F.count(F.lit(1)).alias("n")), "lines")
+    """(doc_id, row, h, lead): each line of each document that isn't empty, once; written without texts. One line of each row leads, so that equal rows can be counted."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("_t")).where("_t <> ''")
+    own = own.select("doc_id", "row", F.posexplode(F.array_remove(F.array_distinct(F.split("_t", "\n")), "")).alias("_at", "line"))
+    return C.materialise(own.select("doc_id", "row", F.xxhash64("line").alias("h"), (F.col("_at") == 0).alias("lead")), "lines")
 
 
 def _few(hashes: DataFrame, most: int) -> bool:
@@ -163,31 +173,24 @@ def _few(hashes: DataFrame, most: int) -> bool:
     return hashes.count() <= most
 
 
-def distinct_lines(docs: DataFrame, marks: DataFrame, shortest: int, most: int) -> DataFrame:
-    """(h, line): each distinct line once. Lines met once need no shuffle where the repeated ones are few enough to be known everywhere."""
-    lines = hashed_lines(docs, shortest).select("h", "line")
-    repeated = marks.where("n > 1").select("h")
-    if _few(repeated, most):
-        once = lines.join(F.broadcast(repeated), "h", "left_anti")
-        again = lines.join(F.broadcast(repeated), "h", "left_semi").distinct()
-        return once.unionByName(again)
-    return lines.distinct()
+def _sent(table: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(table) if _few(table, most) else table
 
 
-def _in_blocks(index: DataFrame, probe: DataFrame, most: int, block: int = BLOCK_LINES) -> tuple[list[str], DataFrame, DataFrame]:
-    """The columns to join by, and both tables. Of a key that more than ``block`` lines have, ``block`` lines on one side meet as many on the other in one group."""
-    m = index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block)
-    hot = C.materialise(m.select("key", F.ceil(F.col("m") / block).cast("int").alias("m")), "hot")
-    if hot.isEmpty():
-        return ["key"], index, probe
-    few = F.broadcast(hot) if _few(hot, most) else hot
+def distinct_lines(docs: DataFrame, repeated: DataFrame, shortest: int, most: int) -> DataFrame:
+    """(h, line): each distinct line, from its first document alone (and as often as it stands there) where the ``repeated`` ones (h, first) are few enough to be known everywhere."""
+    lines = hashed_lines(docs, shortest)
+    if _few(repeated, most):
+        known = lines.join(F.broadcast(repeated.withColumn("_again", F.lit(True))), "h", "left")
+        return known.where(F.col("_again").isNull() | F.col("first").eqNullSafe(F.col("doc_id"))).select("h", "line")
+    return lines.select("h", "line").distinct()
 
-    def cut(side: DataFrame, own: str, mine: str, other: str) -> DataFrame:
-        blocks = F.coalesce("m", F.lit(1))
-        placed = side.join(few, "key", "left").withColumn(mine, F.pmod(F.xxhash64(own), blocks).cast("int"))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), blocks - 1))).drop("m")
 
-    return ["key", "i", "j"], cut(index, "b", "i", "j"), cut(probe, "a", "j", "i")
+def _in_blocks(members: DataFrame, block: int = BLOCK_LINES) -> tuple[DataFrame, DataFrame]:
+    """``members`` (key, m, h, ...) twice, to be joined on key, i and j. Of a key that more than ``block`` lines have, ``block`` lines on one side meet as many on the other in one group."""
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    placed = members.withColumns({"_own": F.pmod(F.xxhash64("h"), blocks).cast("int"), "_all": F.explode(F.sequence(F.lit(0), blocks - 1))}).drop("m")
+    return placed.withColumnsRenamed({"_own": "i", "_all": "j"}), placed.withColumnsRenamed({"_own": "j", "_all": "i"})
 
 
 def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -197,22 +200,39 @@ def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs
 
 
-def linked_lines(docs: DataFrame, marks: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST, most: int = BROADCAST_HASHES) -> DataFrame:
-    """(a, b): hashes of linked distinct lines, both ways."""
+def candidates(members: DataFrame, errors: int) -> DataFrame:
+    """(a, b), a < b: lines of ``members`` (key, m, h, size, counts) that share a key and may be as near as ``errors`` edits by their lengths and counts.
+
+    An edit takes one character and puts in one at most, so counts differ by two an edit in all; by one, if it changes the length.
+    """
+    one, two = _in_blocks(members)
+    one, two = one.withColumnsRenamed({"h": "a", "size": "sizea", "counts": "countsa"}), two.withColumnsRenamed({"h": "b", "size": "sizeb", "counts": "countsb"})
+    apart = F.lit(0)
+    for k in range(len(COUNTED)):
+        apart = apart + F.abs(F.col("countsa")[f"n{k}"] - F.col("countsb")[f"n{k}"])
+    longer = F.abs(F.col("sizea") - F.col("sizeb"))
+    met = one.join(two, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & (longer <= errors) & (apart + longer <= 2 * errors))
+    return met.select("a", "b").distinct()
+
+
+def linked_lines(docs: DataFrame, repeated: DataFrame, errors: int, shortest: int, most: int) -> DataFrame:
+    """(a, b, firsta, firstb): hashes of linked distinct lines, both ways, and the first documents of the lines."""
     # a column of its own: counting characters reads the line
-    lines = distinct_lines(docs, marks, shortest, most).withColumn("size", F.length("line"))
-    index, probe = C.materialise(index_keys(lines, errors, shortest).toDF("b", "key"), "index"), probe_keys(lines, errors, shortest).toDF("a", "key")
-    keys, index, probe = _in_blocks(index, probe, most)
-    pairs = probe.join(index, keys).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = C.materialise(pairs, "pairs")
-    met = C.materialise(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "met")
-    texts = hashed_lines(docs, shortest).select("h", "line")
-    texts = C.materialise(texts.join(F.broadcast(met) if _few(met, most) else met, "h", "left_semi").distinct(), "texts")
+    lines = distinct_lines(docs, repeated, shortest, most).withColumn("size", F.length("line"))
+    keys = C.materialise(line_keys(lines, errors), "keys")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("h").alias("_l"), F.max("h").alias("_g"))
+    shared = C.materialise(shared.where("_l < _g").select("key", "m"), "shared")
+    members = C.materialise(keys.join(_sent(shared, most), "key").distinct(), "members")
+    met = C.materialise(members.select("h").distinct(), "met")
+    texts = hashed_lines(docs, shortest).join(_sent(met, most), "h", "left_semi").groupBy("h", "line").agg(F.min("doc_id").alias("first"))
+    counts = [(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c), F.lit("")))).alias(f"n{k}") for k, c in enumerate(COUNTED)]
+    texts = C.materialise(texts.select("h", "line", "first", F.length("line").alias("size"), F.struct(*counts).alias("counts")), "texts")
+    pairs = C.materialise(candidates(members.join(texts.select("h", "size", "counts"), "h"), errors), "pairs")
     both = _both(pairs, texts, "line")
-    close = F.abs(F.length("linea") - F.length("lineb")) <= errors
-    good = both.where(close).where(banded_distance(F.col("linea"), F.col("lineb"), errors) <= errors).select("a", "b").distinct()
-    good = C.materialise(good, "links")
-    return good.union(good.select("b", "a"))
+    good = both.where(banded_distance(F.col("linea"), F.col("lineb"), errors) <= errors).select("a", "b")
+    good = _both(C.materialise(good, "near"), texts, "first")
+    good = C.materialise(good.select("a", "b", "firsta", "firstb"), "links")
+    return good.union(good.select("b", "a", "firstb", "firsta"))
 
 
 def line_report(docs: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST) -> DataFrame:
@@ -222,23 +242,25 @@ def line_report(docs: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST)
     its distinct lines to other lines. Lines below ``shortest`` have no links. Rows that repeat a doc_id count as one
     document where lines come first. An empty table gives an empty one.
     """
-    held = occurrences(docs)
-    return _report(docs, held, decisions(docs, held, errors, shortest))
+    return _report(docs, decisions(docs, errors, shortest))
 
 
-def decisions(docs: DataFrame, held: DataFrame, errors: int, shortest: int, most: int = BROADCAST_HASHES) -> DataFrame:
-    """(h, first, late, links) of each distinct line: whether a linked line comes before it, and its number of links."""
-    marks = C.materialise(held.groupBy("h").agg(F.min("doc_id").alias("first"), F.sum("n").alias("n")), "marks")
-    links = linked_lines(docs, marks, errors, shortest, most)
+def decisions(docs: DataFrame, errors: int, shortest: int, most: int = BROADCAST_HASHES) -> DataFrame:
+    """The occurrences (doc_id, row, h, lead) with the first document of the line, whether a linked line comes before it (late), and its number of links; nulls for a line that is met once and has none."""
+    held = occurrences(docs)
+    repeated = held.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = C.materialise(repeated.select("h", "first"), "repeated")
+    links = linked_lines(docs, repeated, errors, shortest, most)
     order = lambda x, y: F.struct(F.col(x), F.col(y))
-    firsts = marks.select("h", "first")
-    near = _both(links, firsts, "first")
-    near = near.groupBy("a").agg(F.count(F.lit(1)).alias("links"), F.max(order("firstb", "b") < order("firsta", "a")).alias("late"))
-    near = near.withColumnRenamed("a", "h")
-    return firsts.join(near, "h", "left").select("h", "first", F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("links", F.lit(0)).alias("links"))
+    near = links.groupBy(F.col("a").alias("h")).agg(F.count(F.lit(1)).alias("links"), F.max(order("firstb", "b") < order("firsta", "a")).alias("late"), F.min("firsta").alias("_first"))
+    decided = repeated.join(near, "h", "full").select("h", F.coalesce("first", "_first").alias("first"), F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("links", F.lit(0)).alias("links"))
+    decided = C.materialise(decided, "decided")
+    if _few(decided, most):
+        return held.join(F.broadcast(decided), "h", "left")
+    return C.lookup(held.withColumn("_spread", C.spread_of(F.col("doc_id"), F.lit(2))), ["h"], decided, "_spread")
 
 
-def _report(docs: DataFrame, held: DataFrame, decided: DataFrame) -> DataFrame:
+def _report(docs: DataFrame, met: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     cut = F.split(text, "\n")
     rows = docs.select(
@@ -247,10 +269,10 @@ def _report(docs: DataFrame, held: DataFrame, decided: DataFrame) -> DataFrame:
         F.when(text == "", 0).otherwise(F.size(cut)).cast("long").alias("n_lines"),
         ((text != "") & F.array_contains(cut, "")).cast("long").alias("_empty"),
     )
-    held = held.withColumn("_spread", C.spread_of(F.col("doc_id"), F.lit(2)))
-    met = C.lookup(held, ["h"], decided, "_spread")
-    stays = F.col("first").eqNullSafe(F.col("doc_id")) & ~F.col("late")
-    per = met.groupBy("doc_id", "row").agg(F.sum(stays.cast("long")).alias("_stay"), F.sum("links").alias("n_links"))
+    stays = F.col("late").isNull() | (F.col("first").eqNullSafe(F.col("doc_id")) & ~F.col("late"))
+    # equal rows of one doc_id count once
+    once = lambda n: F.floor(F.sum(n) / F.sum(F.col("lead").cast("long"))).cast("long")
+    per = met.groupBy("doc_id", "row").agg(once(stays.cast("long")).alias("_stay"), once(F.coalesce("links", F.lit(0))).alias("n_links"))
     per = per.select(F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_dn"), "row", "_stay", "n_links")
     rows = rows.withColumns({"_d": F.coalesce("doc_id", F.lit(0)), "_dn": F.col("doc_id").isNull()})
     out = rows.join(per, ["_d", "_dn", "row"], "left")
@@ -264,11 +286,8 @@ def dedup_lines(docs: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST)
     empty table gives an empty one.
     """
     d, dn, row, gone_ = C.fresh(docs, "_d", "_dn", "_row", "_gone")
-    held = occurrences(docs)
-    decided = decisions(docs, held, errors, shortest)
     key = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    held = held.withColumn("_spread", C.spread_of(F.col("doc_id"), F.lit(2)))
-    met = C.lookup(held, ["h"], decided, "_spread")
+    met = decisions(docs, errors, shortest).where(F.col("late").isNotNull())
     gone = met.where(~F.col("first").eqNullSafe(F.col("doc_id")) | F.col("late"))
     gone = gone.groupBy(F.coalesce("doc_id", F.lit(0)).alias(d), F.col("doc_id").isNull().alias(dn), F.col("row").alias(row)).agg(F.collect_set("h").alias(gone_))
     rows = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), dn: F.col("doc_id").isNull(), row: F.xxhash64(key)})
