@@ -229,7 +229,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def _small(items: DataFrame, most: int) -> Bench | None:
     """The benchmark's windows, if a count shows that they are ``most`` at most."""
     size = items.agg(F.sum(F.octet_length("text") / 2), F.count(F.lit(1))).first()
-    if (size[0] or 0) <= most * 8 and size[1] <= most and items.mapInArrow(_windows, "item_id string, length int, words string").count() <= most:
+    if (size[0] or 0) <= most * 8 and size[1] <= most and items.mapInArrow(C.lean(_windows), "item_id string, length int, words string").count() <= most:
         return Bench([(r.item_id, r.text.encode()) for r in items.collect()])
     return None
 

@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> np.ndar
     rows = texts.join(F.broadcast(chosen), "doc_id").where("text is not null")
     # a repeated id would teach more than once: its first text by hash stays
     rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    found = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("quality", "text").mapInArrow(_train, "weights binary").collect()
+    found = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("quality", "text").mapInArrow(C.lean(_train), "weights binary").collect()
     return np.frombuffer(found[0][0], "<f4").astype(np.float64) if found else np.zeros((1 << BITS) + 1)
 
 

@@ -259,7 +259,7 @@ def links(prints: DataFrame, hot: int = HOT_NODE, node: int = NODE) -> DataFrame
         calm = marked.where("_hot is null").drop("_hot")
         rows = C.materialise(calm.unionByName(_split(marked.where("_hot"))), "nodes")
         depth += DEEPER
-    return rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS).select(*(F.col(k).cast("long").alias(k) for k in _KEYS), "turned").mapInArrow(_walk, "a long, b long")
+    return rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS).select(*(F.col(k).cast("long").alias(k) for k in _KEYS), "turned").mapInArrow(C.lean(_walk), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, hot: int = HOT_NODE) -> DataFrame:
     """
     spark = docs.sparkSession
     C.tune(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(C.lean(_fingerprint_batches), "doc_id long, fp long")
     rows = C.materialise(rows, "prints").withColumn("_spread", C.spread_of(F.col("doc_id"), F.lit(1)))
     prints = C.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(prints.select("fp"), hot))
@@ -346,7 +346,7 @@ def _marks(width: int, sets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = K.column_bytes(batch.column(3))
-            for i, j in K.pieces(off):
+            for i, j in K.pieces(off, K.CHUNK // 4):
                 part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 raw, cut = part.tobytes(), at.tolist()
                 prints = fingerprints([raw[a:b] for a, b in zip(cut, cut[1:])], width)
@@ -467,10 +467,10 @@ def _of(rows: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
 
 def _verified(pairs: DataFrame, parities: DataFrame, rows: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets are alike: parities (sh, n, p) turn most strangers away before sets are fetched."""
-    may = C.materialise(_both(pairs, parities, "n", "p").mapInArrow(_perhaps_alike, "a long, b long"), "may")
+    may = C.materialise(_both(pairs, parities, "n", "p").mapInArrow(C.lean(_perhaps_alike), "a long, b long"), "may")
     ids = C.materialise(may.select(F.explode(F.array("a", "b")).alias("sh")).distinct(), "ids")
     sets = C.materialise(_of(rows, ids, "s"), "sets")
-    return C.materialise(_both(may, sets, "s").mapInArrow(_alike, "a long, b long"), "alike")
+    return C.materialise(_both(may, sets, "s").mapInArrow(C.lean(_alike), "a long, b long"), "alike")
 
 
 def similar(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -481,13 +481,13 @@ def similar(rows: DataFrame, known: DataFrame) -> DataFrame:
     to one of them, so that a family of copies is one component before any pairs are made; then the sets of a key are
     compared across components alone, ``BLOCK_ROWS`` against as many.
     """
-    counts = rows.select("s").mapInArrow(_counted, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= OFTEN)
+    counts = rows.select("s").mapInArrow(C.lean(_counted), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= OFTEN)
     found = counts.orderBy(F.desc("c"), "key").limit(LAST).toArrow()
     often, c = (found.column(k).to_numpy().astype(np.int64) for k in range(2))
     order = np.argsort(often)
     often, ranks = often[order].astype(np.uint64), np.array([int(x).bit_length() for x in c[order]], np.int64)
-    keys = rows.select("sh", "s").mapInArrow(_prefixes(often, ranks), "key long, sh long, n int")
-    shared = keys.repartition("key").sortWithinPartitions("key", "sh").mapInArrow(_shared, "key long, sh long, n int, first long, first_n int")
+    keys = rows.select("sh", "s").mapInArrow(C.lean(_prefixes(often, ranks)), "key long, sh long, n int")
+    shared = keys.repartition("key").sortWithinPartitions("key", "sh").mapInArrow(C.lean(_shared), "key long, sh long, n int, first long, first_n int")
     shared = C.materialise(shared, "shared")
     close = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)
     ids = C.materialise(shared.select("sh").distinct(), "ids")
@@ -514,7 +514,7 @@ def _keep(docs: DataFrame, width: int, alike: bool) -> DataFrame:
     C.tune(spark)
     k1, k2 = C.row_keys(docs)
     plain = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = C.materialise(plain.mapInArrow(_marks(width, alike), "k1 long, k2 long, doc_id long, fp long, sh long, n int, p binary, s binary"), "marks")
+    rows = C.materialise(plain.mapInArrow(C.lean(_marks(width, alike)), "k1 long, k2 long, doc_id long, fp long, sh long, n int, p binary, s binary"), "marks")
     # one set stands for all of a fingerprint; linked fingerprints link those
     prints = C.materialise(rows.groupBy("fp").agg(F.min("sh").alias("m")), "prints")
     spread = rows.select("fp", "sh").distinct().withColumn("_spread", C.spread_of(F.col("sh")))
