@@ -16,7 +16,7 @@ from . import common as C
 
 WEIGHTS = (5, 2, 1)
 SHARE, EPOCHS = 1.5, 2
-#: Numbers of taken rows that may be sent to every executor (some 32 bytes each), so that no text moves; beyond, tables are joined.
+#: Blocks of 64 row numbers that may be sent to every executor (some 50 bytes each), so that no text moves; beyond, tables are joined.
 BROADCAST_ROWS = 500_000
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -90,15 +90,28 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *keep)
 
 
+def _marked(taken: DataFrame, row: str, times: str, block: str, bits: Sequence[str]) -> DataFrame:
+    """``taken`` (row, times) by blocks of 64 neighbouring row numbers: for each epoch a column of ``bits``, whose bit k says whether row k is taken once more."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(row).bitwiseAND(F.lit(63)).cast("int"))
+    return taken.groupBy(F.shiftright(row, 6).alias(block)).agg(*(F.bit_or(F.when(F.col(times) > e, bit).otherwise(F.lit(0).cast("long"))).alias(b) for e, b in enumerate(bits)))
+
+
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as :func:`mix` takes it, with all its columns, whatever their names.
 
-    Row numbers are written once, so the narrow rows of the mix find their documents again. Repeated rows, nulls and
-    an empty table: as in :func:`mix`.
+    Row numbers are written once, so the narrow rows of the mix find their documents again: as bits, 64 rows a
+    block, which every executor gets. Repeated rows, nulls and an empty table: as in :func:`mix`.
     """
-    row, times, copy = C.fresh(docs, "_row", "_times", "_copy")
+    epochs = options.get("epochs", EPOCHS)
+    row, block, copy, times, *bits = C.fresh(docs, "_row", "_block", "_copy", "_times", *(f"_times{e}" for e in range(epochs)))
     numbered = C.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     taken = mix(numbered.select("doc_id", "text", "source", row), keep=(row,), **options).where("copies > 0")
     taken = C.materialise(taken.select(row, F.col("copies").alias(times)), "taken")
-    found = numbered.join(F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken, row)
+    blocks = C.materialise(_marked(taken, row, times, block, bits), "blocks")
+    if blocks.count() <= BROADCAST_ROWS:
+        met = numbered.withColumn(block, F.shiftright(row, 6)).join(F.broadcast(blocks), block)
+        own = F.col(row).bitwiseAND(F.lit(63)).cast("int")
+        found = met.withColumn(times, sum(F.call_function("shiftrightunsigned", F.col(b), own).bitwiseAND(F.lit(1)).cast("int") for b in bits)).where(F.col(times) > 0)
+    else:
+        found = numbered.join(taken, row)
     return found.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*C.named(docs))
