@@ -113,3 +113,15 @@ def test_urls():
     star, _ = urls.parse_robots("User-agent: *\nDisallow: /*.pdf$", "zz")
     assert not urls.robots_allows(star, "http://h/a.pdf") and urls.robots_allows(star, "http://h/a.pdf?x")
     assert urls.set_param("http://h/?a=1&page=2", "page", 3) == "http://h/?a=1&page=3"
+
+
+def test_open_references():
+    """A named reference without its semicolon stays in titles, headings and links; the reading views show it as browsers do."""
+    page = '<html><head><title>a &amp;&amp</title><script>x = "&amp b"</script></head><body><!-- &amp c --><article><h1>a &amp;&amp</h1><p title="&lt">b &copy; &unknown; &ampx; 3 < 4 &lt</p><a href="/x">&quot</a></article></body></html>'
+    d = Document(page, "text/html", "http://a.example/")
+    assert d.select("title").text == d.select("h1").text == d.metadata()["title"] == "a &&amp"
+    assert d.select("p").text == "b © &unknown; &ampx; 3 < 4 &lt" and d.select("p").attrs["title"] == "<"
+    assert d.select("script").text == 'x = "&amp b"' and d.select("a").text == "&quot"
+    assert "<!-- &amp c -->" in d.root.html()
+    assert d.readable() == 'a && b © &unknown; &x; 3 < 4 < "'
+    assert "a &&\n" in d.markdown()
