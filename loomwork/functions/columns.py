@@ -55,23 +55,42 @@ _MONTH = "(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\\.?"
 def date(text: Column, dayfirst: bool = False) -> Column:
     """YYYY-MM-DD for the plain forms: ISO, named months, year first, and numeric ones; else null (see values.date)."""
     month = lambda s: F.floor((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(s)) + 2) / 3).cast("int")
-    get = lambda p, g: F.regexp_extract(text, p, g)
-    num = lambda p, g: get(p, g).try_cast("int")
+    # named elements of an array of one value keep the text, and each match, from being computed for every group anew
+    named = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
 
     def make(y: Column, m: Column, d: Column) -> Column:
         text_ = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
         return text_.try_cast("date")
 
-    iso = make(num("(\\d{4})-(\\d{2})-(\\d{2})", 1), num("(\\d{4})-(\\d{2})-(\\d{2})", 2), num("(\\d{4})-(\\d{2})-(\\d{2})", 3))
+    def first(text_: Column, pattern: str, read) -> Column:
+        """``read(group, number)`` of the first match; null where there is none."""
+
+        def groups(found: Column) -> Column:
+            get = lambda g: F.regexp_extract(found, pattern, g)
+            return F.when(found != "", read(get, lambda g: get(g).try_cast("int")))
+
+        return named(F.regexp_extract(text_, pattern, 0), groups)
+
+    def numeric(get, num) -> Column:
+        a, b, y = num(1), num(2), num(3)
+        y = F.when(y < 100, y + 2000).otherwise(y)
+        day = F.lit(dayfirst) | (a > 12)
+        return make(y, F.when(day, b).otherwise(a), F.when(day, a).otherwise(b))
+
     p1 = f"(\\d{{1,2}})(?:st|nd|rd|th)?\\s+{_MONTH},?\\s+(\\d{{4}})"
     p2 = f"{_MONTH}\\s+(\\d{{1,2}})(?:st|nd|rd|th)?,?\\s+(\\d{{4}})"
     p3 = "(?<!\\d)(\\d{4})[/.](\\d{1,2})[/.](\\d{1,2})(?!\\d)"
     p4 = "(?<!\\d)(\\d{1,2})[/.-](\\d{1,2})[/.-](\\d{4}|\\d{2})(?!\\d)"
-    a, b, y = num(p4, 1), num(p4, 2), num(p4, 3)
-    y = F.when(y < 100, y + 2000).otherwise(y)
-    day = F.lit(dayfirst) | (a > 12)
-    last = make(y, F.when(day, b).otherwise(a), F.when(day, a).otherwise(b))
-    found = F.coalesce(iso, make(num(p1, 3), month(get(p1, 2)), num(p1, 1)), make(num(p2, 3), month(get(p2, 1)), num(p2, 2)), make(num(p3, 1), num(p3, 2), num(p3, 3)), last)
+    found = named(
+        text,
+        lambda t: F.coalesce(
+            first(t, "(\\d{4})-(\\d{2})-(\\d{2})", lambda get, num: make(num(1), num(2), num(3))),
+            first(t, p1, lambda get, num: make(num(3), month(get(2)), num(1))),
+            first(t, p2, lambda get, num: make(num(3), month(get(1)), num(2))),
+            first(t, p3, lambda get, num: make(num(1), num(2), num(3))),
+            first(t, p4, numeric),
+        ),
+    )
     return F.date_format(found, "yyyy-MM-dd")
 
 
